@@ -1,4 +1,9 @@
 """Every registered query, grouped by the part of the inventory it covers."""
 
-from taleloom.plans import catalogue_queries, relational_queries  # noqa: F401
+from taleloom.plans import (  # noqa: F401
+    catalogue_queries,
+    feature_queries,
+    relational_queries,
+    sampling_queries,
+)
 from taleloom.plans.registry import ORACLES, QUERIES  # noqa: F401
