@@ -3,6 +3,9 @@
 from taleloom.plans import (  # noqa: F401
     catalogue_queries,
     feature_queries,
+    metric_queries,
+    model_queries,
+    page_queries,
     relational_queries,
     sampling_queries,
 )
