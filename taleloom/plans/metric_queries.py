@@ -141,12 +141,12 @@ def h6_mean_contrastive_loss(spark, sf_dir):
 @query(
     "h7_margin_ranking_loss",
     LOSS_BASE
-    + """SELECT anchor_id, round(list_sum(list_transform(s[2:], lambda x: greatest(0.0, 0.02 - (s[1] - x)))) / (len(s) - 1), 4)
+    + """SELECT anchor_id, round(list_sum(list_transform(s[2:], lambda x: greatest(0.0, 0.02 - (s[1] - x)))) / (len(s) - 1), 6)
   + 0.0 AS loss FROM scores""",
 )
 def h7_margin_ranking_loss(spark, sf_dir):
     losses = met.contrastive_losses(scores(spark, sf_dir), "rankloss")
-    return losses.withColumn("loss", F.round("loss", 4))
+    return losses.withColumn("loss", F.round("loss", 6))
 
 
 @query(
