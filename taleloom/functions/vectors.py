@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NORM_FLOOR = 1e-8
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    An expression named inside a lambda is otherwise computed again for every
+    element of the array.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
@@ -25,8 +36,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    length = F.greatest(norm(a), F.lit(NORM_FLOOR))
-    return F.transform(a, lambda v: v / length)
+    return bind(F.greatest(norm(a), F.lit(NORM_FLOOR)), lambda length: F.transform(a, lambda v: v / length))
 
 
 def scaled_dot(query: Column, key: Column) -> Column:
@@ -38,39 +48,46 @@ def squared_distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def _exps(x: Column) -> Column:
+    """Exponentials of the entries, shifted so that the largest is 1."""
+    return bind(x, lambda y: bind(F.array_max(y), lambda top: F.transform(y, lambda v: F.exp(v - top))))
+
+
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    exps = F.transform(x, lambda v: F.exp(v - top))
-    scale = total(exps)
-    return F.transform(exps, lambda v: v / scale)
+    return bind(_exps(x), lambda e: bind(total(e), lambda scale: F.transform(e, lambda v: v / scale)))
 
 
 def argmax(x: Column) -> Column:
     """0-based place of the largest entry, the first one on ties."""
-    return (F.array_position(x, F.array_max(x)) - 1).cast("int")
+    return bind(x, lambda y: F.array_position(y, F.array_max(y)) - 1).cast("int")
 
 
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return F.log(total(F.transform(x, lambda v: F.exp(v - top)))) + top
+    return bind(x, lambda y: F.log(total(_exps(y))) + F.array_max(y))
 
 
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
     """Negative log-softmax at a 0-based target, optionally smoothed over all classes."""
-    lse = log_sum_exp(logits)
-    nll = lse - F.get(logits, target)
-    if not smoothing:
-        return nll
-    spread = lse - total(logits) / F.size(logits)
-    return (1 - smoothing) * nll + smoothing * spread
+
+    def loss(x: Column) -> Column:
+        nll = log_sum_exp(x) - F.get(x, target)
+        if not smoothing:
+            return nll
+        spread = log_sum_exp(x) - total(x) / F.size(x)
+        return (1 - smoothing) * nll + smoothing * spread
+
+    return bind(logits, loss)
 
 
 def margin_loss(scores: Column, margin: float = 0.02) -> Column:
     """Mean hinge of the first score against each later one."""
-    first = F.get(scores, F.lit(0))
-    rest = F.slice(scores, 2, F.greatest(F.size(scores) - 1, F.lit(0)))
-    hinges = F.transform(rest, lambda s: F.greatest(F.lit(0.0), margin - (first - s)))
-    return total(hinges) / F.size(rest)
+
+    def loss(s: Column) -> Column:
+        rest = F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0)))
+        hinges = F.transform(rest, lambda x: F.greatest(F.lit(0.0), margin - (F.get(s, F.lit(0)) - x)))
+        return F.when(F.size(rest) > 0, total(hinges) / F.size(rest))
+
+    return bind(scores, loss)
 
 
 def contrastive_loss(scores: Column) -> Column:
@@ -85,11 +102,12 @@ def first_token(token_vectors: Column) -> Column:
 def masked_mean(token_vectors: Column, mask: Column, dim: int) -> Column:
     """Mean of the token vectors whose mask entry is 1."""
     weights = F.transform(mask, lambda m: m.cast("double"))
-    weight = F.greatest(total(weights), F.lit(1e-9))
     weighted = F.zip_with(token_vectors, weights, lambda v, w: F.transform(v, lambda x: x * w))
     zero = F.array_repeat(F.lit(0.0), dim)
     summed = F.aggregate(weighted, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
-    return F.transform(summed, lambda x: x / weight)
+    return bind(
+        F.greatest(total(weights), F.lit(1e-9)), lambda weight: F.transform(summed, lambda x: x / weight)
+    )
 
 
 def micro_text(x: Column) -> Column:
