@@ -8,5 +8,6 @@ from taleloom.plans import (  # noqa: F401
     page_queries,
     relational_queries,
     sampling_queries,
+    storage_queries,
 )
 from taleloom.plans.registry import ORACLES, QUERIES  # noqa: F401

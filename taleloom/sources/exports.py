@@ -51,3 +51,10 @@ def write_confusion(matrix: DataFrame, truth: str, pred: str, classes: Sequence,
 
 def write_predictions(df: DataFrame, row_id: str, pred: str, truth: str, path: str) -> None:
     df.select(row_id, F.col(pred).alias("y_pred"), F.col(truth).alias("y_true")).write.mode("overwrite").parquet(path)
+
+
+def write_catalogue(rows: DataFrame, path: str) -> None:
+    """CSV with quoted texts, as ``readers.read_catalogue`` takes it."""
+    rows.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(path)
