@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taleloom.functions.vectors import bind
+
 NOT_FOUND = "NOT FOUND"
 
 # Inclusive code ranges and their category names.
@@ -34,11 +36,15 @@ CATEGORY_ALIAS = {"TALES OF THE STUPID OGRE (GIANT, DEVIL)": "Stupid Ogre"}
 def category(code: Column) -> Column:
     """The category of a whole-number code; anything else is ``NOT FOUND``."""
     number = F.regexp_extract(code, "^ *0*([0-9]{1,9}) *$", 1).try_cast("int")
-    picked = None
-    for low, high, name in CATEGORY_RANGES:
-        hit = number.between(low, high)
-        picked = F.when(hit, name) if picked is None else picked.when(hit, name)
-    return picked.otherwise(NOT_FOUND)
+
+    def named(n: Column) -> Column:
+        picked = None
+        for low, high, name in CATEGORY_RANGES:
+            hit = n.between(low, high)
+            picked = F.when(hit, name) if picked is None else picked.when(hit, name)
+        return picked.otherwise(NOT_FOUND)
+
+    return bind(number, named)
 
 
 def label_name(name: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -110,30 +114,51 @@ def tfidf_map(df: DataFrame, row_id: str, words: Column) -> DataFrame:
     return tfidf(df, row_id, words).groupBy(row_id).agg(pairs.alias("tfidf"))
 
 
-def encode_hashed(df: DataFrame, ids: Sequence[str], words: Column, dim: int, out: str = "embedding") -> DataFrame:
-    """``ids, out``: unit-length signed hashing vectors of token lists.
+def _hashing_reader(dim: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from the parts of one text to the mean of their unit vectors."""
+    blanks = re.compile(tx.BLANKS)
 
-    Each token adds +1 or -1 to one of ``dim`` slots. The sums are combined in
-    the task that reads the text, at most ``dim`` records per text are shuffled.
+    @lru_cache(maxsize=1 << 17)
+    def mark(token: str) -> int:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        return int(digest[:8], 16) % dim * 2 + (digest[8] >= "8")
+
+    def read(parts: np.ndarray) -> np.ndarray:
+        if parts is None or not len(parts):
+            return np.zeros(dim)
+        words = [[w for w in blanks.split(part) if w] for part in parts]
+        marks = np.array([mark(w) for some in words for w in some], dtype=np.int64)
+        part_no = np.repeat(np.arange(len(words)), [len(some) for some in words])
+        sums = np.bincount(
+            part_no * dim + (marks >> 1), weights=1 - 2 * (marks & 1), minlength=len(words) * dim
+        ).reshape(len(words), dim)
+        lengths = np.maximum(np.sqrt((sums * sums).sum(axis=1)), NORM_FLOOR)
+        return (sums / lengths[:, None]).mean(axis=0)
+
+    return read
+
+
+def hashed_mean(parts: Column, dim: int) -> Column:
+    """Mean of the hashed vectors of a text's parts.
+
+    Each token of a part adds +1 or -1 to one of ``dim`` slots, and the sums are
+    scaled to length 1. Nothing is shuffled: a text is encoded in the task that
+    reads it, one Arrow batch at a time. Array expressions would walk the tokens
+    once per slot, and exploding them would shuffle every token.
     """
-    hashed = df.select(*ids, F.explode_outer(words).alias("_token")).select(*ids, F.md5("_token").alias("_hash"))
-    slot = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("bigint") % dim
-    sign = F.when(F.substring("_hash", 9, 1) < "8", 1).otherwise(-1)
-    sums = (
-        hashed.select(*ids, slot.cast("int").alias("_slot"), F.when(F.col("_hash").isNotNull(), sign).alias("_sign"))
-        .groupBy(*ids, "_slot")
-        .agg(F.sum("_sign").cast("double").alias("_w"))
-    )
-    entries = F.collect_list(F.when(F.col("_slot").isNotNull(), F.struct("_slot", "_w")))
-    whole = sums.groupBy(*ids).agg(
-        F.map_from_entries(entries).alias("_map"), F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm")
-    )
-    length = F.greatest(F.coalesce(F.col("_norm"), F.lit(0.0)), F.lit(NORM_FLOOR))
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.element_at(F.col("_map"), i), F.lit(0.0)) / length,
-    )
-    return whole.select(*ids, vector.alias(out))
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        read = _hashing_reader(dim)
+        for batch in batches:
+            yield pd.Series([read(parts) for parts in batch], dtype="object")
+
+    return encode(F.transform(parts, F.lower))
+
+
+def encode_hashed(df: DataFrame, ids: Sequence[str], text: str, dim: int, out: str = "embedding") -> DataFrame:
+    """``ids, out``: the hashed vector of each row's whole text."""
+    return df.select(*ids, hashed_mean(F.array_compact(F.array(text)), dim).alias(out))
 
 
 Encoder = Callable[[list[str]], list[list[float]]]
@@ -162,10 +187,11 @@ def mean_vectors(
 
 
 def sentence_mean_vectors(df: DataFrame, row_id: str, text: str, dim: int) -> DataFrame:
-    """``row_id, mean, n``: mean of the hashed vectors of a text's sentences."""
-    rows = sentence_rows(df, row_id, text)
-    encoded = encode_hashed(rows, [row_id, "pos"], tx.tokens(F.col("sentence")), dim)
-    return mean_vectors(encoded, [row_id], "embedding")
+    """``row_id, mean, n``: mean of the hashed vectors of a text's sentences, row by row."""
+    parts = df.select(row_id, tx.sentences(F.col(text)).alias("_parts"))
+    return parts.select(
+        row_id, hashed_mean(F.col("_parts"), dim).alias("mean"), F.size("_parts").cast("bigint").alias("n")
+    )
 
 
 ENCODERS = ("sbert", "lf")
@@ -181,11 +207,8 @@ def book_vectors(
     """
     if method.lower() not in ENCODERS:
         raise ValueError(f"method must be one of {ENCODERS}")
-    if method.lower() == "sbert":
-        vectors = sentence_mean_vectors(df, row_id, text, dim).select(row_id, F.col("mean").alias("embedding"))
-    else:
-        vectors = encode_hashed(df, [row_id], tx.tokens(F.col(text)), dim)
-    named = vectors.join(df.select(row_id, book), row_id)
+    parts = tx.sentences(F.col(text)) if method.lower() == "sbert" else F.array_compact(F.array(text))
+    named = df.select(book, row_id, hashed_mean(parts, dim).alias("embedding"))
     if per_text:
         return named.select(book, row_id, "embedding")
     return mean_vectors(named, [book], "embedding", out="embedding")

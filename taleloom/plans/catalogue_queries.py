@@ -213,7 +213,7 @@ def c13_task_projection(spark, sf_dir):
     f"lambda t: t <> '' AND t NOT IN ({sql_words(text.STOP_WORDS)})), ' ') AS clean_text FROM documents",
 )
 def c14_clean_text(spark, sf_dir):
-    return tables.load(spark, sf_dir, "documents").select(
+    return tables.texts(spark, sf_dir).select(
         "doc_id", text.clean_text(F.col("text")).alias("clean_text")
     )
 

@@ -25,7 +25,7 @@ SENTENCES_SQL = (
 FROM (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents)""",
 )
 def t1_sentences(spark, sf_dir):
-    return feat.sentence_rows(tables.load(spark, sf_dir, "documents"), "doc_id", "text")
+    return feat.sentence_rows(tables.texts(spark, sf_dir), "doc_id", "text")
 
 
 def _hashed_sql(rows: str, ids: str) -> str:
@@ -49,8 +49,8 @@ MICRO_V = "string_agg(CAST(round(v * 1000000) AS BIGINT)::VARCHAR, ',' ORDER BY
     + f"SELECT doc_id, {MICRO_V} AS embedding FROM coded GROUP BY doc_id",
 )
 def t9_hashed_vectors(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
-    coded = feat.encode_hashed(docs, ["doc_id"], tx.tokens(F.col("text")), 64)
+    docs = tables.texts(spark, sf_dir)
+    coded = feat.encode_hashed(docs, ["doc_id"], "text", 64)
     return coded.select("doc_id", V.micro_text(F.col("embedding")).alias("embedding"))
 
 
@@ -68,7 +68,7 @@ SELECT doc_id, """.lstrip()
     + " AS mean, max(n) AS n FROM means GROUP BY doc_id",
 )
 def t3_sentence_mean_vectors(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
+    docs = tables.texts(spark, sf_dir)
     means = feat.sentence_mean_vectors(docs, "doc_id", "text", 64)
     return means.select("doc_id", V.micro_text(F.col("mean")).alias("mean"), "n")
 
@@ -83,7 +83,7 @@ SELECT source, """.lstrip()
     + " AS embedding FROM means GROUP BY source",
 )
 def t10_book_vectors(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
+    docs = tables.texts(spark, sf_dir)
     books = feat.book_vectors(docs, "source", "doc_id", "text", 64, method="LF")
     return books.select("source", V.micro_text(F.col("embedding")).alias("embedding"))
 
@@ -97,7 +97,7 @@ lists AS (SELECT doc_id, """.lstrip()
     + " AS embedding FROM means GROUP BY doc_id) SELECT source, doc_id, embedding FROM lists JOIN documents USING (doc_id)",
 )
 def t10_text_vectors(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
+    docs = tables.texts(spark, sf_dir)
     texts = feat.book_vectors(docs, "source", "doc_id", "text", 64, method="SBERT", per_text=True)
     return texts.select("source", "doc_id", V.micro_text(F.col("embedding")).alias("embedding"))
 
@@ -117,14 +117,14 @@ SELECT doc_id, tf.token, tf, df, round(tf * ln((1 + (SELECT count(*) FROM docume
 FROM tf JOIN spread ON spread.token = tf.token""",
 )
 def t6_tfidf(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
+    docs = tables.texts(spark, sf_dir)
     weights = feat.tfidf(docs, "doc_id", tx.clean_words(F.col("text")))
     return weights.withColumn("tfidf", F.round("tfidf", 6))
 
 
 @query("t6_tfidf_map")
 def t6_tfidf_map(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents")
+    docs = tables.texts(spark, sf_dir)
     return feat.tfidf_map(docs, "doc_id", tx.clean_words(F.col("text")))
 
 

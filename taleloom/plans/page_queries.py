@@ -51,7 +51,7 @@ ITEMS = f"""items AS (SELECT page_id, pos, {tag_free_sql('raw')} AS item FROM (
 
 
 def pages(spark, sf_dir):
-    return tables.load(spark, sf_dir, "pages")
+    return tables.spread(tables.load(spark, sf_dir, "pages"))
 
 
 def visited(spark, sf_dir):

@@ -15,9 +15,9 @@ from taleloom.plans.registry import LABELLED, STORIES, TAGGED, ctes, query, word
 SEED = 11
 
 
-def labelled(spark, sf_dir):
+def labelled(spark, sf_dir, heavy=False):
     """Stories with a known category and its label id."""
-    known = cat.valid_codes(tables.stories(spark, sf_dir))
+    known = cat.valid_codes(tables.stories(spark, sf_dir, heavy=heavy))
     tagged = cat.with_category(known)
     return cat.encode_labels(tagged, cat.label_dimension(tagged))
 
@@ -103,7 +103,7 @@ def _joined(name: str):
     f"SELECT doc_id, {PADDED} FROM (SELECT doc_id, {_ids_sql('text')} AS ids FROM documents)",
 )
 def t2_token_ids(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tables.texts(spark, sf_dir).select("doc_id", "text")
     coded = feat.hashed_token_ids(docs, "text", SEQ_LEN, VOCAB_SIZE)
     return coded.select("doc_id", _joined("input_ids"), _joined("attention_mask"))
 
@@ -115,7 +115,7 @@ vocab AS (SELECT token, n, row_number() OVER (ORDER BY md5('vocab:' || token), t
 
 @query("t2_vocabulary", ctes(VOCAB) + "SELECT * FROM vocab")
 def t2_vocabulary(spark, sf_dir):
-    return feat.vocabulary(tables.load(spark, sf_dir, "documents"), "text", 2)
+    return feat.vocabulary(tables.texts(spark, sf_dir), "text", 2)
 
 
 @query(
@@ -128,7 +128,7 @@ coded AS (SELECT s.doc_id, list(coalesce(v.vocab_id, 1) ORDER BY s.pos) AS ids
 SELECT doc_id, {PADDED} FROM coded""".lstrip(),
 )
 def t2_vocabulary_ids(spark, sf_dir):
-    docs = tables.load(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = tables.texts(spark, sf_dir).select("doc_id", "text")
     vocab = feat.vocabulary(docs, "text", 2)
     coded = feat.vocabulary_token_ids(docs, "doc_id", "text", vocab, SEQ_LEN)
     return coded.select("doc_id", _joined("input_ids"), _joined("attention_mask"))
@@ -151,7 +151,10 @@ def f4_dataset_build(spark, sf_dir):
     placed = smp.seeded_shuffle(ids, "story_id", SEED).join(
         smp.class_split(ids, "label_id", "story_id", 20, SEED).select("story_id", "split"), "story_id"
     )
-    rows = kept.select("story_id", F.col("atu_raw").alias("atu"), F.col("description").alias("desc"), "text")
+    texts = labelled(spark, sf_dir, heavy=True).select(
+        "story_id", F.col("atu_raw").alias("atu"), F.col("description").alias("desc"), "text"
+    )
+    rows = texts.join(ids.select("story_id"), "story_id", "left_semi")
     coded = feat.hashed_token_ids(rows, "text", SEQ_LEN, VOCAB_SIZE).drop("text")
     return coded.join(placed, "story_id").select(
         "story_id", "atu", "desc", "label_id", "shuffle_pos", _joined("input_ids"), _joined("attention_mask"), "split"

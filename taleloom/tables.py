@@ -21,20 +21,37 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that arrives in fewer splits than there are cores, dealt out evenly.
+
+    A table of cluster size has more splits than that and is left as it is, so
+    the extra shuffle is only ever paid on small inputs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` for work that is heavy per text."""
+    return spread(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def _story_code(doc_id: Column) -> tuple[Column, Column]:
     k = F.when(doc_id % 3 == 0, doc_id % 7).otherwise(doc_id % 61)
     return k, (k * 41).cast("string")
 
 
 def stories(
-    spark: SparkSession, sf_dir: str, vectors: bool = False, quality: bool = False
+    spark: SparkSession, sf_dir: str, vectors: bool = False, quality: bool = False, heavy: bool = False
 ) -> DataFrame:
     """The story table, derived from ``documents``.
 
     The joins to ``embeddings`` and ``labels`` are made only when a query asks
-    for their columns, so that the others stay a single scan.
+    for their columns, so that the others stay a single scan. ``heavy`` announces
+    costly work on each text.
     """
     docs = load(spark, sf_dir, "documents")
+    docs = spread(docs) if heavy else docs
     doc_id = F.col("doc_id")
     k, code = _story_code(doc_id)
     shape = doc_id % 17
