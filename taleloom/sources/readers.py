@@ -60,7 +60,7 @@ def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
     A book with a ``split ...`` folder consists of that folder's files alone.
     Files of other sub-folders do not belong to a book.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     address = _decoded(F.col("_metadata.file_path"))
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     relative = F.regexp_replace(address, rf"^[a-z0-9]*:?/*\Q{base}\E/", "")
