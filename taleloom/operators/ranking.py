@@ -24,18 +24,28 @@ def positions(
     bucket: Column,
     groups: Sequence[str] = (),
     name: str = "pos",
+    size: str | None = None,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row within its group.
 
     ``bucket`` must not decrease along ``order``. Group columns must not be
-    null.
+    null. ``size`` names a column for the group's row count, and ``per_group``
+    brings further columns of the groups; both travel with the bucket starts, so
+    that no row is ever joined on its (possibly very common) group alone.
     """
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
-        *groups, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+        *groups,
+        "_bucket",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        *([F.sum("_rows").over(whole).alias(size)] if size else []),
     )
+    if per_group is not None:
+        starts = starts.join(per_group, list(groups))
     inside = Window.partitionBy(*groups, "_bucket").orderBy(*order)
     return (
         tagged.join(starts, [*groups, "_bucket"])
@@ -45,11 +55,18 @@ def positions(
 
 
 def shuffled_positions(
-    df: DataFrame, row_id: str, seed: int | str, groups: Sequence[str] = (), name: str = "pos"
+    df: DataFrame,
+    row_id: str,
+    seed: int | str,
+    groups: Sequence[str] = (),
+    name: str = "pos",
+    size: str | None = None,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
     """Positions in the seeded random order of ``row_id``."""
     keyed = df.withColumn("_key", order_key(seed, row_id))
-    return positions(keyed, ["_key", row_id], hash_bucket(F.col("_key")), groups, name).drop("_key")
+    bucket = hash_bucket(F.col("_key"))
+    return positions(keyed, ["_key", row_id], bucket, groups, name, size, per_group).drop("_key")
 
 
 def id_positions(df: DataFrame, row_id: str, groups: Sequence[str] = (), name: str = "pos") -> DataFrame:

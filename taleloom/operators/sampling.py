@@ -53,22 +53,20 @@ def stratified_split(df: DataFrame, label: str, row_id: str, spec: str, seed: in
     _, val, test = parse_split_spec(spec)
     held = val + test
     narrow = df.select(row_id, label).filter(F.col(label).isNotNull())
-    placed = shuffled_positions(narrow, row_id, seed, [label])
-    sizes = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    placed = shuffled_positions(narrow, row_id, seed, [label], size="_n")
     n_held = F.floor((F.col("_n") * held * 2 + 100) / 200)
     n_test = F.floor((n_held * test * 2 + held) / (2 * held)) if held else F.lit(0)
     split = F.when(F.col("pos") < n_test, "test").when(F.col("pos") < n_held, "val").otherwise("train")
-    return placed.join(sizes, label).select(row_id, label, split.alias("split"))
+    return placed.select(row_id, label, split.alias("split"))
 
 
 def class_split(df: DataFrame, label: str, row_id: str, test_percent: int, seed: int | str) -> DataFrame:
     """``row_id, label, split``: each class gives the rounded-up share to test."""
     narrow = df.select(row_id, label).filter(F.col(label).isNotNull())
-    placed = shuffled_positions(narrow, row_id, seed, [label])
-    sizes = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    placed = shuffled_positions(narrow, row_id, seed, [label], size="_n")
     n_test = F.floor((F.col("_n") * test_percent + 99) / 100)
     split = F.when(F.col("pos") < n_test, "test").otherwise("train")
-    return placed.join(sizes, label).select(row_id, label, split.alias("split"))
+    return placed.select(row_id, label, split.alias("split"))
 
 
 def hash_split(df: DataFrame, row_id: str, test_share: float, seed: int | str) -> DataFrame:
@@ -90,8 +88,9 @@ def class_positions(df: DataFrame, label: str, row_id: str, seed: int | str) ->
     label order.
     """
     narrow = df.select(row_id, label).filter(F.col(label).isNotNull())
-    placed = shuffled_positions(narrow, row_id, seed, [label], name="r")
-    return placed.join(group_sizes(narrow, label), label).withColumn("g", F.col("start") + F.col("r"))
+    classes = group_sizes(narrow, label)
+    placed = shuffled_positions(narrow, row_id, seed, [label], name="r", per_group=classes)
+    return placed.withColumn("g", F.col("start") + F.col("r"))
 
 
 def pair_samples(

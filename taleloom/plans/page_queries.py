@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from taleloom import tables
 from taleloom.functions import codes
 from taleloom.functions import html as H
+from taleloom.functions import text as tx
 from taleloom.operators import pages as pg
 from taleloom.plans.registry import ctes, query
 
@@ -113,27 +114,30 @@ def b3_page_stories(spark, sf_dir):
     return pg.page_stories(pages(spark, sf_dir), "/(en|de)/")
 
 
-# A page with section headings, built from the turns of a conversation.
-SECTIONED = """turns AS (SELECT conv_id, turn, role,
-  '<h2>' || CASE WHEN turn = 1 THEN 'Links to turns' ELSE 'Turn ' || turn END || '</h2><i>' || role || '</i><p>' || text ||
-  '</p><hr><p>second version</p>' AS part FROM conversations),
-made AS (SELECT conv_id AS page_id, 'http://folk.example/type' || conv_id AS url,
-  '<h1>Page</h1><h2>Contents</h2><p>list</p>' || string_agg(part, '' ORDER BY turn) AS src
-  FROM turns GROUP BY conv_id)"""
+# Pages with section headings: a turn of a conversation, one section per sentence.
+SECTIONED = r"""parted AS (SELECT conv_id * 1000 + turn AS page_id, role, list_filter(list_transform(
+    regexp_extract_all(text, '[^.!?\n]+[.!?]*'), lambda s: trim(s, E' \t\n\r\f')), lambda s: s <> '') AS s FROM conversations),
+made AS (SELECT page_id, 'http://folk.example/type' || page_id AS url,
+  '<h1>Page</h1><h2>Contents</h2><p>list</p>' || array_to_string(list_transform(range(1, len(s) + 1), lambda i:
+    '<h2>' || CASE WHEN i = 1 THEN 'Links to parts' ELSE 'Part ' || i END || '</h2><i>' || role || '</i><p>' || s[i] ||
+    '</p><hr><p>second version</p>'), '') AS src FROM parted)"""
 
 
 def sectioned_pages(spark, sf_dir):
-    """Pages with section headings; a page holds the turns of one conversation."""
-    title = F.when(F.col("turn") == 1, "Links to turns").otherwise(F.concat(F.lit("Turn "), F.col("turn").cast("string")))
-    part = F.concat(
-        F.lit("<h2>"), title, F.lit("</h2><i>"), "role", F.lit("</i><p>"), "text", F.lit("</p><hr><p>second version</p>")
-    )
-    turns = tables.load(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", part.alias("part")).alias("t"))
-    made = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    return made.select(
-        F.col("conv_id").alias("page_id"),
-        F.concat(F.lit("http://folk.example/type"), F.col("conv_id").cast("string")).alias("url"),
-        F.concat(F.lit("<h1>Page</h1><h2>Contents</h2><p>list</p>"), F.array_join("ts.part", "")).alias("html"),
+    """Pages with section headings: one per turn, with a section for each sentence."""
+    def section(sentence, i):
+        title = F.when(i == 0, "Links to parts").otherwise(F.concat(F.lit("Part "), (i + 1).cast("string")))
+        return F.concat(
+            F.lit("<h2>"), title, F.lit("</h2><i>"), F.col("role"), F.lit("</i><p>"), sentence,
+            F.lit("</p><hr><p>second version</p>"),
+        )
+
+    parts = F.transform(tx.sentences(F.col("text")), section)
+    number = F.col("conv_id") * 1000 + F.col("turn")
+    return tables.load(spark, sf_dir, "conversations").select(
+        number.alias("page_id"),
+        F.concat(F.lit("http://folk.example/type"), number.cast("string")).alias("url"),
+        F.concat(F.lit("<h1>Page</h1><h2>Contents</h2><p>list</p>"), F.array_join(parts, "")).alias("html"),
     )
 
 

@@ -14,7 +14,7 @@ def build_session(
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
 ) -> SparkSession:
-    """A session with UTC time, adaptive execution and skew-join splitting.
+    """A session with UTC time, adaptive execution, skew-join splitting and stream state on disk.
 
     ``master`` and ``shuffle_partitions`` are left to the cluster's own
     configuration when they are not given.
@@ -27,6 +27,10 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
     )
     if master:
         builder = builder.master(master)
