@@ -154,9 +154,8 @@ def f4_dataset_build(spark, sf_dir):
     texts = labelled(spark, sf_dir, heavy=True).select(
         "story_id", F.col("atu_raw").alias("atu"), F.col("description").alias("desc"), "text"
     )
-    rows = texts.join(ids.select("story_id"), "story_id", "left_semi")
-    coded = feat.hashed_token_ids(rows, "text", SEQ_LEN, VOCAB_SIZE).drop("text")
-    return coded.join(placed, "story_id").select(
+    coded = feat.hashed_token_ids(texts.join(placed, "story_id"), "text", SEQ_LEN, VOCAB_SIZE)
+    return coded.select(
         "story_id", "atu", "desc", "label_id", "shuffle_pos", _joined("input_ids"), _joined("attention_mask"), "split"
     )
 
