@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from taleloom.functions.vectors import bind
+
 BLANKS = "[ \\t\\n\\r\\f]+"
 SENTENCE = "[^.!?\\n]+[.!?]*"
 EDGE = " \t\n\r\f"
@@ -48,6 +50,30 @@ def clean_words(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.filter(F.split(bare, " "), lambda t: (t != "") & ~t.isin(words))
 
 
+def term_counts(words: Column) -> Column:
+    """Distinct words of a list with their counts, as ``(token, tf)`` structs.
+
+    The sorted list is cut where the word changes, inside the row.
+    """
+
+    def cut(w: Column) -> Column:
+        changes = F.transform(
+            w, lambda t, i: F.when((i == 0) | (F.get(w, F.greatest(i - 1, F.lit(0))) != t), i)
+        )
+        return bind(
+            F.array_compact(changes),
+            lambda starts: F.transform(
+                starts,
+                lambda s, j: F.struct(
+                    F.get(w, s).alias("token"),
+                    (F.coalesce(F.get(starts, j + 1), F.size(w)) - s).cast("bigint").alias("tf"),
+                ),
+            ),
+        )
+
+    return bind(F.sort_array(words), cut)
+
+
 def clean_text(text: Column, stop_words: list[str] | None = None) -> Column:
     return F.array_join(clean_words(text, stop_words), " ")
 

@@ -72,16 +72,14 @@ def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
 def vocabulary_token_ids(df: DataFrame, row_id: str, text: str, vocab: DataFrame, seq_len: int) -> DataFrame:
     """``row_id, input_ids, attention_mask`` with ids looked up in a vocabulary.
 
-    A row sends each distinct token once, with the list of its places, so that a
-    very common token costs one record per text.
+    The vocabulary has one row per token: adaptive execution broadcasts it when
+    it is small, and splits the partitions of very common tokens otherwise.
     """
     kept = F.slice(tx.tokens(F.col(text)), 1, seq_len)
     spots = (
         token_rows(df, row_id, kept)
-        .groupBy(row_id, "token")
-        .agg(F.collect_list("pos").alias("spots"))
         .join(vocab.select("token", "vocab_id"), "token", "left")
-        .select(row_id, F.explode("spots").alias("pos"), F.coalesce("vocab_id", F.lit(UNKNOWN_ID)).alias("id"))
+        .select(row_id, "pos", F.coalesce("vocab_id", F.lit(UNKNOWN_ID)).alias("id"))
     )
     placed = spots.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_placed"))
     filled, mask = padded(F.col("_ids"), seq_len)
@@ -93,17 +91,13 @@ def vocabulary_token_ids(df: DataFrame, row_id: str, text: str, vocab: DataFrame
 def tfidf(df: DataFrame, row_id: str, words: Column) -> DataFrame:
     """``row_id, token, tf, df, tfidf`` with ``idf = ln((1 + texts) / (1 + df))``.
 
-    Counts are combined inside each task first, so the join on the token carries
-    one record per text and distinct token; adaptive execution splits the
-    partitions of very common tokens.
+    A text's words are counted inside its row. Only then one record per text and
+    distinct token goes to the join; adaptive execution broadcasts the document
+    frequencies when they are small, and splits very common tokens otherwise.
     """
-    counts = (
-        df.select(row_id, F.explode(words).alias("token"))
-        .groupBy(row_id, "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    counts = df.select(row_id, F.explode(tx.term_counts(words)).alias("t")).select(row_id, "t.token", "t.tf")
     texts = df.select(F.count(F.lit(1))).scalar()
-    spread = counts.groupBy("token").agg(F.count("tf").alias("df"))
+    spread = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1 + texts) / (1 + F.col("df")))
     return counts.join(spread, "token").select(row_id, "token", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
 

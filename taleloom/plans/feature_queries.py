@@ -122,10 +122,28 @@ def t6_tfidf(spark, sf_dir):
     return weights.withColumn("tfidf", F.round("tfidf", 6))
 
 
-@query("t6_tfidf_map")
+@query(
+    "t6_tfidf_map",
+    f"""WITH toks AS (SELECT doc_id, unnest({CLEAN_WORDS_SQL}) AS token FROM documents),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY ALL),
+spread AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+weights AS (SELECT doc_id, tf.token, tf * ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) AS w
+  FROM tf JOIN spread ON spread.token = tf.token)
+SELECT doc_id, count(*) AS terms, string_agg(token || '=' || CAST(round(w * 1000000) AS BIGINT), ',' ORDER BY token) AS tfidf
+FROM weights GROUP BY doc_id""",
+)
 def t6_tfidf_map(spark, sf_dir):
     docs = tables.texts(spark, sf_dir)
-    return feat.tfidf_map(docs, "doc_id", tx.clean_words(F.col("text")))
+    maps = feat.tfidf_map(docs, "doc_id", tx.clean_words(F.col("text")))
+    entry = F.transform(
+        F.array_sort(F.map_entries("tfidf")),
+        lambda e: F.concat(
+            e.getField("key"), F.lit("="), F.round(e.getField("value") * 1000000, 0).cast("bigint").cast("string")
+        ),
+    )
+    return maps.select(
+        "doc_id", F.size("tfidf").cast("bigint").alias("terms"), F.array_join(entry, ",").alias("tfidf")
+    )
 
 
 TOKEN_VECTORS = """token_vectors AS (SELECT vec_id, list_transform(range(8), lambda i: v[i * 8 + 1 : i * 8 + 8]) AS tv,

@@ -72,7 +72,7 @@ def b1_element_text(spark, sf_dir):
     return pg.element_texts(pages(spark, sf_dir))
 
 
-@query("b1_parsed_text")
+@query("b1_parsed_text", ctes(SRC) + f"SELECT page_id, {tag_free_sql('src')} AS text FROM src")
 def b1_parsed_text(spark, sf_dir):
     return H.parsed_text(pages(spark, sf_dir), "page_id", "html")
 

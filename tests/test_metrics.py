@@ -117,3 +117,13 @@ def test_attention_weights_sum_to_one(spark, small):
 def test_nearest_mean_predictions(spark, small):
     df = met.predictions(tables.vectors(spark, small), "vec_id", "embedding", "label")
     assert met.accuracy(df, "label", "pred").first().accuracy > 0.3
+
+
+def test_attention_with_projections(spark):
+    from taleloom.operators.pooling import attention_pool
+
+    rows = [("a", 1, [1.0, 0.0]), ("a", 2, [0.0, 1.0]), ("b", 3, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "code string, id long, v array<double>")
+    zero, swap = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 3.0], [1.0, 0.0]]
+    got = {r.code: list(r.emb) for r in attention_pool(df, "code", "id", "v", 2, 1, 1, (zero, None, swap)).collect()}
+    assert got["a"] == pytest.approx([1.5, 0.5]) and got["b"] == pytest.approx([6.0, 2.0])
