@@ -13,6 +13,7 @@ from taleloom.functions.codes import (
     trim_code,
 )
 from taleloom.functions.text import base_name
+from taleloom.operators.skew import lookup_join
 
 LONGEST_CODE = 6
 
@@ -50,15 +51,15 @@ def code_descriptions(guide: DataFrame, code: str, description: str, row_no: str
 def clean_catalogue(guide: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The second catalogue in the common story schema.
 
-    Codes are looked up as they stand and trimmed afterwards. The lookup table
-    has one row per code, so its join is broadcast when its measured size allows
-    and shuffled otherwise.
+    Codes are looked up as they stand and trimmed afterwards. The lookup has one
+    row per code, and very common codes are joined to it in pieces.
     """
     lookup = code_descriptions(guide, "atu_raw", "description", "story_id").select(
         F.col("atu_raw").alias("ATU"), F.col("description").alias("desc")
     )
     kept = single_short_codes(catalogue, "ATU")
-    return kept.join(lookup, "ATU", "left").select(
+    sizes = kept.groupBy("ATU").agg(F.count(F.lit(1)).alias("n"))
+    return lookup_join(kept, lookup, sizes, "ATU", "story_id", how="left").select(
         "story_id",
         trim_code(F.col("ATU")).alias("atu"),
         "desc",

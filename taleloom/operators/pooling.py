@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from taleloom.functions.keys import order_key
 from taleloom.functions.vectors import scaled_dot
 from taleloom.operators.features import mean_vectors
+from taleloom.operators.skew import cut, hot_keys, lookup_join, repeated
 
 
 Matrix = Sequence[Sequence[float]]
@@ -44,35 +45,40 @@ def attention_scores(
 
     One seeded story per code is the query. Each head sees its slice of the
     vector. The largest score of a code comes from a partial aggregate, not from
-    a window over the whole code.
+    a window over the whole code, and very common codes are joined in pieces.
     """
     if dim % heads:
         raise ValueError("the vector length must be a multiple of the number of heads")
     width = dim // heads
     rows = df.select(code, row_id, vector).filter(F.col(code).isNotNull() & F.col(vector).isNotNull())
     first = F.min(F.struct(order_key(seed, row_id).alias("k"), F.col(row_id).alias("id"))).getField("id")
-    chosen = rows.groupBy(code).agg(first.alias(row_id))
+    codes = rows.groupBy(code).agg(first.alias("_chosen"), F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(codes, code, "n")
     for_query, for_key, for_value = matrices
-    query = rows.join(chosen, [code, row_id], "left_semi").select(
+    chosen = codes.select(F.col("_chosen").alias(row_id))
+    query = rows.join(chosen, row_id, "left_semi").select(
         code, projected(F.col(vector), for_query).alias("_query")
     )
-    mapped = rows.select(
+    mapped = cut(rows, hot, code, row_id).select(
         code,
+        "_piece",
         row_id,
         projected(F.col(vector), for_key).alias("_key"),
         projected(F.col(vector), for_value).alias("_value"),
     )
-    per_head = mapped.join(query, code).withColumn("head", F.explode(F.sequence(F.lit(0), F.lit(heads - 1))))
+    head = F.explode(F.sequence(F.lit(0), F.lit(heads - 1)))
+    per_head = mapped.join(repeated(query, hot, code), [code, "_piece"]).withColumn("head", head)
     start = F.col("head") * width + 1
     scored = per_head.select(
         code,
+        "_piece",
         "head",
         row_id,
         F.slice("_value", start, width).alias("value"),
         scaled_dot(F.slice("_query", start, width), F.slice("_key", start, width)).alias("_score"),
     )
     top = scored.groupBy(code, "head").agg(F.max("_score").alias("_top"))
-    return scored.join(top, [code, "head"]).select(
+    return scored.join(repeated(top, hot, code), [code, "head", "_piece"]).select(
         code, "head", row_id, "value", F.exp(F.col("_score") - F.col("_top")).alias("weight")
     )
 
@@ -101,6 +107,8 @@ def attention_weights(
         code, "head", row_id, "weight"
     )
     whole = scores.groupBy(code, "head").agg(F.sum("weight").alias("_sum"))
-    return scores.join(whole, [code, "head"]).select(
-        code, "head", row_id, (F.col("weight") / F.col("_sum")).alias("weight")
-    )
+    named = F.array_sort(F.collect_list(F.struct("head", "_sum")))
+    per_code = whole.groupBy(code).agg(named.getField("_sum").alias("_sums"))
+    sizes = scores.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
+    joined = lookup_join(scores, per_code, sizes, code, row_id)
+    return joined.select(code, "head", row_id, (F.col("weight") / F.get("_sums", F.col("head"))).alias("weight"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from taleloom.functions.keys import text_digest
 from taleloom.operators.ranking import id_positions
+from taleloom.operators.skew import lookup_join
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -84,12 +85,11 @@ def most_frequent(df: DataFrame, keys: Sequence[str], counted: str, k: int) -> D
     return counts.orderBy(F.desc("n"), *keys).limit(k)
 
 
-def groups_larger_than(df: DataFrame, key: str, size: int, inclusive: bool = False) -> DataFrame:
+def groups_larger_than(df: DataFrame, key: str, row_id: str, size: int, inclusive: bool = False) -> DataFrame:
     """Rows of groups with more than ``size`` rows, or at least that many."""
-    n = F.col("_n")
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    kept = sizes.filter(n >= size if inclusive else n > size).select(key)
-    return df.join(kept, key, "left_semi")
+    kept = sizes.filter(F.col("_n") >= size if inclusive else F.col("_n") > size).select(key)
+    return lookup_join(df, kept, sizes, key, row_id, "_n", "left_semi")
 
 
 def shares(df: DataFrame, key: str) -> DataFrame:

@@ -112,7 +112,7 @@ def e1_most_frequent_codes(spark, sf_dir):
     ctes(STORIES) + "SELECT story_id, atu_raw FROM stories QUALIFY count(*) OVER (PARTITION BY atu_raw) > 10",
 )
 def e2_groups_over(spark, sf_dir):
-    return rel.groups_larger_than(tables.stories(spark, sf_dir), "atu_raw", 10).select("story_id", "atu_raw")
+    return rel.groups_larger_than(tables.stories(spark, sf_dir), "atu_raw", "story_id", 10).select("story_id", "atu_raw")
 
 
 @query(
@@ -120,7 +120,7 @@ def e2_groups_over(spark, sf_dir):
     ctes(STORIES) + "SELECT story_id, atu_raw FROM stories QUALIFY count(*) OVER (PARTITION BY atu_raw) >= 10",
 )
 def e2_groups_at_least(spark, sf_dir):
-    out = rel.groups_larger_than(tables.stories(spark, sf_dir), "atu_raw", 10, inclusive=True)
+    out = rel.groups_larger_than(tables.stories(spark, sf_dir), "atu_raw", "story_id", 10, inclusive=True)
     return out.select("story_id", "atu_raw")
 
 

@@ -146,7 +146,7 @@ SELECT story_id, atu, "desc", label_id, shuffle_pos, {PADDED},
   CASE WHEN pos < (n * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split FROM placed""".lstrip(),
 )
 def f4_dataset_build(spark, sf_dir):
-    kept = rel.groups_larger_than(labelled(spark, sf_dir), "atu_raw", 10, inclusive=True)
+    kept = rel.groups_larger_than(labelled(spark, sf_dir), "atu_raw", "story_id", 10, inclusive=True)
     ids = kept.select("story_id", "label_id")
     placed = smp.seeded_shuffle(ids, "story_id", SEED).join(
         smp.class_split(ids, "label_id", "story_id", 20, SEED).select("story_id", "split"), "story_id"
