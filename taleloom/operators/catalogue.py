@@ -13,7 +13,6 @@ from taleloom.functions.codes import (
     trim_code,
 )
 from taleloom.functions.text import base_name
-from taleloom.operators.skew import lookup_join
 
 LONGEST_CODE = 6
 
@@ -52,14 +51,14 @@ def clean_catalogue(guide: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The second catalogue in the common story schema.
 
     Codes are looked up as they stand and trimmed afterwards. The lookup has one
-    row per code, and very common codes are joined to it in pieces.
+    row per code: adaptive execution broadcasts it when it is small, and splits
+    the partitions of very common codes otherwise.
     """
     lookup = code_descriptions(guide, "atu_raw", "description", "story_id").select(
         F.col("atu_raw").alias("ATU"), F.col("description").alias("desc")
     )
     kept = single_short_codes(catalogue, "ATU")
-    sizes = kept.groupBy("ATU").agg(F.count(F.lit(1)).alias("n"))
-    return lookup_join(kept, lookup, sizes, "ATU", "story_id", how="left").select(
+    return kept.join(lookup, "ATU", "left").select(
         "story_id",
         trim_code(F.col("ATU")).alias("atu"),
         "desc",

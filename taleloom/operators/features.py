@@ -18,7 +18,6 @@ from taleloom.functions import text as tx
 from taleloom.functions.keys import hash_number
 from taleloom.functions.vectors import NORM_FLOOR
 from taleloom.operators.ranking import shuffled_positions
-from taleloom.operators.skew import lookup_join
 
 PAD_ID = 0
 UNKNOWN_ID = 1
@@ -73,12 +72,12 @@ def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
 def vocabulary_token_ids(df: DataFrame, row_id: str, text: str, vocab: DataFrame, seq_len: int) -> DataFrame:
     """``row_id, input_ids, attention_mask`` with ids looked up in a vocabulary.
 
-    The vocabulary's counts tell which tokens are so common that their join is
-    cut up.
+    The vocabulary has one row per token: adaptive execution broadcasts it when
+    it is small, and splits the partitions of very common tokens otherwise.
     """
     kept = F.slice(tx.tokens(F.col(text)), 1, seq_len)
     rows = token_rows(df, row_id, kept)
-    ids = lookup_join(rows, vocab.select("token", "vocab_id"), vocab, "token", row_id, "n", "left")
+    ids = rows.join(vocab.select("token", "vocab_id"), "token", "left")
     spots = ids.select(row_id, "pos", F.coalesce("vocab_id", F.lit(UNKNOWN_ID)).alias("id"))
     placed = spots.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_placed"))
     filled, mask = padded(F.col("_ids"), seq_len)
@@ -91,14 +90,15 @@ def tfidf(df: DataFrame, row_id: str, words: Column) -> DataFrame:
     """``row_id, token, tf, df, tfidf`` with ``idf = ln((1 + texts) / (1 + df))``.
 
     A text's words are counted inside its row. Only then one record per text and
-    distinct token goes to the join, in which very common tokens are cut up.
+    distinct token goes to the join. The other side has one row per token:
+    adaptive execution broadcasts it when it is small, and splits the partitions
+    of very common tokens otherwise.
     """
     counts = df.select(row_id, F.explode(tx.term_counts(words)).alias("t")).select(row_id, "t.token", "t.tf")
     texts = df.select(F.count(F.lit(1))).scalar()
     spread = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((1 + texts) / (1 + F.col("df")))
-    joined = lookup_join(counts, spread, spread, "token", row_id, "df")
-    return joined.select(row_id, "token", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
+    return counts.join(spread, "token").select(row_id, "token", "tf", "df", (F.col("tf") * idf).alias("tfidf"))
 
 
 def tfidf_map(df: DataFrame, row_id: str, words: Column) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from taleloom.functions.keys import order_key
 from taleloom.functions.vectors import scaled_dot
 from taleloom.operators.features import mean_vectors
-from taleloom.operators.skew import cut, hot_keys, lookup_join, repeated
+from taleloom.operators.skew import cut, hot_keys, repeated
 
 
 Matrix = Sequence[Sequence[float]]
@@ -107,8 +107,6 @@ def attention_weights(
         code, "head", row_id, "weight"
     )
     whole = scores.groupBy(code, "head").agg(F.sum("weight").alias("_sum"))
-    named = F.array_sort(F.collect_list(F.struct("head", "_sum")))
-    per_code = whole.groupBy(code).agg(named.getField("_sum").alias("_sums"))
-    sizes = scores.groupBy(code).agg(F.count(F.lit(1)).alias("n"))
-    joined = lookup_join(scores, per_code, sizes, code, row_id)
-    return joined.select(code, "head", row_id, (F.col("weight") / F.get("_sums", F.col("head"))).alias("weight"))
+    return scores.join(whole, [code, "head"]).select(
+        code, "head", row_id, (F.col("weight") / F.col("_sum")).alias("weight")
+    )

@@ -1,4 +1,9 @@
-"""Joins on keys of which a few may hold a large part of all rows."""
+"""Cutting up very common join keys.
+
+Adaptive execution splits skewed joins by itself, but not where the next step
+groups by the same key, since the split would cost it a shuffle. There the
+common keys are cut up beforehand.
+"""
 
 from __future__ import annotations
 
@@ -35,16 +40,3 @@ def repeated(lookup: DataFrame, hot: DataFrame, key: str) -> DataFrame:
     """A lookup with its few hot rows repeated for every piece: at most twice ``parts`` rows more."""
     tagged = lookup.join(F.broadcast(hot), key, "left")
     return tagged.withColumn("_piece", F.explode(F.sequence(F.lit(0), _cuts() - 1))).drop("_cuts")
-
-
-def lookup_join(
-    df: DataFrame, lookup: DataFrame, sizes: DataFrame, key: str, row_id: str, n: str = "n", how: str = "inner"
-) -> DataFrame:
-    """Join rows to a lookup with one row per key.
-
-    ``sizes`` tells how many rows of ``df`` each key has. Hot keys are cut into
-    pieces, so that no task gets much more than a thousandth of all rows, even
-    when the following step groups by the same key.
-    """
-    hot = hot_keys(sizes, key, n)
-    return cut(df, hot, key, row_id).join(repeated(lookup, hot, key), [key, "_piece"], how).drop("_piece")

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from taleloom.operators.pages import page_stories
 from taleloom.tables import SCHEMAS
 
+# Fixed value: addresses that contain this hold one story per page.
 SINGLE_STORY_URL = "grimm"
 
 

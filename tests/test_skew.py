@@ -25,7 +25,9 @@ def test_hot_keys_are_few_and_cut_evenly(rows):
 def test_same_rows_as_a_plain_join(rows, how):
     lookup = rows.filter("key is not null and key not like 'k1%'").select("key").distinct().withColumn("v", F.length("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ours = skew.lookup_join(rows, lookup, sizes, "key", "id", how=how)
+    hot = skew.hot_keys(sizes, "key", "n", parts=50)
+    pieces = skew.repeated(lookup, hot, "key")
+    ours = skew.cut(rows, hot, "key", "id").join(pieces, ["key", "_piece"], how).drop("_piece")
     plain = rows.join(lookup, "key", how)
     assert sorted(ours.columns) == sorted(plain.columns)
     cols = sorted(plain.columns)
