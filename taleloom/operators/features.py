@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from taleloom.functions import text as tx
 from taleloom.functions.keys import hash_number
+from taleloom.functions.text import BLANKS
 from taleloom.functions.vectors import NORM_FLOOR
 from taleloom.operators.ranking import shuffled_positions
 
@@ -109,7 +110,7 @@ def tfidf_map(df: DataFrame, row_id: str, words: Column) -> DataFrame:
 
 def _hashing_reader(dim: int) -> Callable[[np.ndarray], np.ndarray]:
     """A function from the parts of one text to the mean of their unit vectors."""
-    blanks = re.compile(tx.BLANKS)
+    blanks = re.compile(BLANKS)
 
     @lru_cache(maxsize=1 << 17)
     def mark(token: str) -> int:
