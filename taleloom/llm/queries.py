@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, sharding, topk, url_filter
+from taleloom.llm import chat, decontaminate, packing, sharding, topk, url_filter
+from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +79,11 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), WORD_BPE)
+
+
 @query("op5_hash_tree_sharding")
 def hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(load(spark, sf_dir, "documents"), shards=40)
