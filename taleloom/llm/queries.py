@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, packing, sharding, topk, url_filter
+from taleloom.llm import chat, decontaminate, packing, sharding, simhash, topk, url_filter
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
@@ -90,6 +90,12 @@ def hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op6_simhash_groups")
+def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(load(spark, sf_dir, "documents"), words=3, most=2)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP8 = r"""WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
