@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, packing, sharding, simhash, topk, url_filter
+from taleloom.llm import chat, decontaminate, packing, quality, sharding, simhash, topk, url_filter
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
@@ -96,6 +96,13 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op7_pu_quality")
+def pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").select("doc_id", "quality"))
+    good = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scores.select("doc_id", quality.held_out().alias("held_out"), "score", good.alias("predicted"))
+
+
 OP8 = r"""WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
