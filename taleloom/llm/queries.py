@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, packing, quality, sharding, simhash, topk, url_filter
+from taleloom.llm import chat, decontaminate, packing, quality, repeats, sharding, simhash, topk, url_filter
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
@@ -125,6 +125,12 @@ def chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(load(spark, sf_dir, "conversations").unionByName(probe))
 
 
+@query("op9_repeated_strings")
+def repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 URL_RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
