@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, packing, quality, repeats, sharding, simhash, topk, url_filter
+from taleloom.llm import chat, decontaminate, lines, packing, quality, repeats, sharding, simhash, topk, url_filter
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
@@ -27,6 +27,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+@query("op1_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(load(spark, sf_dir, "documents"))
+
+
 OP2 = """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL

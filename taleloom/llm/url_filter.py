@@ -54,11 +54,18 @@ def _bit(key: Column, word: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
 
-def bloom_blocks(rules: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """``bloom_block, w0 .. w3`` from ``host, path``: at most ``blocks`` rows."""
-    keyed = rules.select(_hash(F.col("host"), F.col("path")).alias("k"))
+def bloom_blocks(keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """``bloom_block, w0 .. w3`` from the hashes ``k``: at most ``blocks`` rows."""
     words = [F.bit_or(_bit(F.col("k"), w)).alias(f"w{w}") for w in range(WORDS)]
-    return keyed.groupBy(_block(F.col("k"), blocks).alias("bloom_block")).agg(*words)
+    return keys.groupBy(_block(F.col("k"), blocks).alias("bloom_block")).agg(*words)
+
+
+def in_bloom(rows: DataFrame, key: Column, keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """The rows whose hash ``key`` may be among the hashes ``k`` of ``keys``; none of those is missed."""
+    bloom = F.broadcast(bloom_blocks(keys, blocks))
+    held = [F.col(f"w{w}").bitwiseAND(_bit(key, w)) != 0 for w in range(WORDS)]
+    passed = rows.join(bloom, _block(key, blocks) == F.col("bloom_block")).filter(held[0] & held[1] & held[2] & held[3])
+    return passed.select(*[F.col(c) for c in rows.columns])
 
 
 def _host_suffixes(host: Column) -> Column:
@@ -86,13 +93,8 @@ def listed_urls(urls: DataFrame, rules: DataFrame, blocks: int = BLOCKS) -> Data
         .withColumn("rule_path", F.explode(prefixes))
         .withColumn("k", _hash(F.col("rule_host"), F.col("rule_path")))
     )
-    bloom = F.broadcast(bloom_blocks(clean, blocks))
-    held = [F.col(f"w{w}").bitwiseAND(_bit(F.col("k"), w)) != 0 for w in range(WORDS)]
-    possible = (
-        candidates.join(bloom, _block(F.col("k"), blocks) == F.col("bloom_block"))
-        .filter(held[0] & held[1] & held[2] & held[3])
-        .select("host", "path", "rule_host", "rule_path")
-    )
+    keys = clean.select(_hash(F.col("host"), F.col("path")).alias("k"))
+    possible = in_bloom(candidates, F.col("k"), keys, blocks).select("host", "path", "rule_host", "rule_path")
     listed = clean.toDF("rule_host", "rule_path", "verdict")
     rule = F.concat("rule_host", "rule_path")
     return (
