@@ -3,14 +3,16 @@
 Trusted positives are documents labelled 1; all documents of the training fold
 serve as unlabelled web text; labels of 0 are never used as negatives, only in
 the estimate of the class prior (the share of label 1 among training labels,
-which can be given instead). A linear model on a dozen text statistics minimises
+which can be given instead). A linear model on a few text statistics minimises
 the non-negative unbiased risk with logistic loss,
 
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]) + penalty,
 
-by Newton steps; where the second term is negative a step takes it back up. Each
-step is one pass over all rows of the fold: tasks sum gradient and Hessian, and
-a few hundred numbers reach the driver. No rows are sampled.
+by Newton steps. A step that would make the second term negative, by more than the
+error of an estimate from so many positives, is halved until it does not, so the
+model never fits the unlabelled rows below the risk that their negatives must have. Each step is one pass over all rows of the fold: tasks sum
+gradient and Hessian, and a few hundred numbers reach the driver. No rows are
+sampled.
 
 A text is described by character classes, words and lines only; id, source,
 language and labels are never inputs of a score.
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,13 @@ from taleloom.session import cut_lineage
 FOLDS = 5
 THRESHOLD = 0.3
 PENALTY = 1e-2
-STEPS = 12
+PASSES = 20
+SLACK = 0.5
 LONGEST_STEP = 2.0
 
 LOWER, UPPER, DIGIT, LEAD, MORE, PIPE, SYMBOL, SHOUT, STOP, LINE = range(1, 11)
 CLASSES = 16
+STATISTICS = 13
 KIND = np.zeros(256, "i8")
 KIND[ord("a") : ord("z") + 1] = LOWER
 KIND[ord("A") : ord("Z") + 1] = UPPER
@@ -56,17 +61,17 @@ for _char, _kind in [("|", PIPE), ("!", SHOUT), (",", STOP), (".", STOP), ("\n",
 
 def text_statistics(texts: pa.Array) -> np.ndarray:
     """A row of statistics for each text."""
-    blocks = [np.zeros((0, 12))]
+    blocks = [np.zeros((0, STATISTICS))]
     for _, data, offsets in text_slices(texts):
         n = len(offsets) - 1
         owner = np.repeat(np.arange(n) * CLASSES, np.diff(offsets))
         c = np.bincount(owner + KIND[data], minlength=n * CLASSES).reshape(n, CLASSES).astype("f8")
         raw = data.tobytes()
-        words, kinds, lines, line_kinds = np.zeros((4, n))
+        words, kinds, again, lines, line_kinds = np.zeros((5, n))
         for i in range(n):
             text = raw[offsets[i] : offsets[i + 1]]
             parts = text.split()
-            words[i], kinds[i] = len(parts), len(set(parts))
+            words[i], kinds[i], again[i] = len(parts), len(set(parts)), sum(map(eq, parts, parts[1:]))
             parts = text.split(b"\n")
             lines[i], line_kinds[i] = len(parts), len(set(parts))
         chars = np.diff(offsets) - c[:, MORE]
@@ -84,6 +89,7 @@ def text_statistics(texts: pa.Array) -> np.ndarray:
                     np.log1p(c[:, SHOUT] / each),
                     np.log1p(c[:, STOP] / each),
                     kinds / each,
+                    again / each,
                     np.log1p(lines / each),
                     line_kinds / lines,
                     np.log1p(chars / each),
@@ -142,7 +148,7 @@ def _sums(model: Model):
             f = np.clip(a @ model.weights, -500, 500)
             s, negative = _sigmoid(f), np.logaddexp(0, f)
             p = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            parts = [[len(f), p.sum(), negative.sum(), negative[p].sum()], a.T @ s, a[p].sum(axis=0), a[p].T @ s[p]]
+            parts = [[len(f), p.sum(), negative.sum(), negative[p].sum()], a.T @ s, a[p].sum(axis=0)]
             now = np.concatenate([*parts, ((a * (s * (1 - s))[:, None]).T @ a).ravel()])
             total = now if total is None else total + now
         if total is not None:
@@ -152,7 +158,7 @@ def _sums(model: Model):
     return scan
 
 
-def fit(rows: DataFrame, prior: float, penalty: float = PENALTY, steps: int = STEPS) -> Model | None:
+def fit(rows: DataFrame, prior: float, penalty: float = PENALTY, passes: int = PASSES) -> Model | None:
     """The model for unlabelled rows ``x, positive``; ``None`` without positives."""
     n = rows.agg(F.max(F.size("x"))).first()[0]
     if not n or not rows.filter("positive").limit(1).count():
@@ -161,23 +167,24 @@ def fit(rows: DataFrame, prior: float, penalty: float = PENALTY, steps: int = ST
     moments = np.array(rows.agg(*stats).first(), "f8").reshape(n, 2)
     model = Model(moments[:, 0], np.where(moments[:, 1] > 0, moments[:, 1], 1.0), np.zeros(n + 1))
     d = n + 1
-    for _ in range(steps):
+    feasible, step = model.weights, np.zeros(d)
+    for _ in range(passes):
         sums = rows.select("x", "positive").mapInArrow(_sums(model), "at long, value double")
         got = sums.groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()
         v = np.array([r["value"] for r in got])
         n_u, n_p, risk_u, risk_p = v[:4]
-        from_u, mean_p, from_p = (v[4 + i * d : 4 + (i + 1) * d] / (n_p if i else n_u) for i in range(3))
-        hessian = v[4 + 3 * d :].reshape(d, d) / n_u + penalty * np.eye(d)
-        if risk_u / n_u - prior * risk_p / n_p >= 0:
-            gradient = from_u - prior * mean_p + penalty * model.weights
+        if risk_u / n_u - prior * risk_p / n_p < -SLACK / np.sqrt(n_p):
+            step = step / 2
         else:
-            gradient = prior * from_p - from_u
-        step = -np.linalg.solve(hessian, gradient)
-        step *= min(1.0, LONGEST_STEP / max(np.abs(step).max(), 1e-12))
-        model = Model(model.centre, model.spread, model.weights + step)
-        if np.abs(step).max() < 1e-6:
+            feasible = model.weights
+            from_u, mean_p = v[4 : 4 + d] / n_u, v[4 + d : 4 + 2 * d] / n_p
+            hessian = v[4 + 2 * d :].reshape(d, d) / n_u + penalty * np.eye(d)
+            step = -np.linalg.solve(hessian, from_u - prior * mean_p + penalty * feasible)
+            step *= min(1.0, LONGEST_STEP / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-4:
             break
-    return model
+        model = Model(model.centre, model.spread, feasible + step)
+    return Model(model.centre, model.spread, feasible)
 
 
 def _prior(labels: DataFrame) -> float:
