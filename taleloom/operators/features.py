@@ -30,7 +30,8 @@ def sentence_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
 
 
 def token_rows(df: DataFrame, row_id: str, tokens: Column) -> DataFrame:
-    return df.select(row_id, F.posexplode(tokens).alias("pos", "token"))
+    """A row per token; a text without tokens gives one row of nulls."""
+    return df.select(row_id, F.posexplode_outer(tokens).alias("pos", "token"))
 
 
 def padded(ids: Column, length: int) -> tuple[Column, Column]:
@@ -80,7 +81,9 @@ def vocabulary_token_ids(df: DataFrame, row_id: str, text: str, vocab: DataFrame
     rows = token_rows(df, row_id, kept)
     ids = rows.join(vocab.select("token", "vocab_id"), "token", "left")
     spots = ids.select(row_id, "pos", F.coalesce("vocab_id", F.lit(UNKNOWN_ID)).alias("id"))
-    placed = spots.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_placed"))
+    # A text without tokens has one spot without a place, which is dropped here again.
+    some = F.filter(F.collect_list(F.struct("pos", "id")), lambda s: s.pos.isNotNull())
+    placed = spots.groupBy(row_id).agg(F.array_sort(some).alias("_placed"))
     filled, mask = padded(F.col("_ids"), seq_len)
     return placed.withColumn("_ids", F.col("_placed.id")).select(
         row_id, filled.alias("input_ids"), mask.alias("attention_mask")
@@ -103,9 +106,11 @@ def tfidf(df: DataFrame, row_id: str, words: Column) -> DataFrame:
 
 
 def tfidf_map(df: DataFrame, row_id: str, words: Column) -> DataFrame:
-    """``row_id, tfidf``: token to weight, one map per text."""
+    """``row_id, tfidf``: token to weight, one map per text; a text without words has an empty one."""
     pairs = F.map_from_entries(F.collect_list(F.struct("token", "tfidf")))
-    return tfidf(df, row_id, words).groupBy(row_id).agg(pairs.alias("tfidf"))
+    maps = tfidf(df, row_id, words).groupBy(row_id).agg(pairs.alias("tfidf"))
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return df.select(row_id).join(maps, row_id, "left").withColumn("tfidf", F.coalesce("tfidf", empty))
 
 
 def _hashing_reader(dim: int) -> Callable[[np.ndarray], np.ndarray]:

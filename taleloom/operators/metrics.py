@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from taleloom.functions import vectors as V
 from taleloom.operators.features import mean_vectors
+from taleloom.session import cut_lineage
 
 MOST_CLASSES = 4096
-SCORE_DIGITS = 6
-SCORE_BUCKETS = 1000
 
 
 def _bounded(rows: Column) -> Column:
@@ -28,11 +27,16 @@ def class_list(df: DataFrame, label: str) -> Column:
     return distinct.agg(_bounded(F.array_sort(F.collect_list(label)))).scalar()
 
 
-def predictions(df: DataFrame, row_id: str, vector: str, label: str) -> DataFrame:
+def rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
+def predictions(df: DataFrame, row_id: str, vector: str, label: str, digits: int | None = None) -> DataFrame:
     """``row_id, label, logits, probs, pred, target`` of a nearest-mean classifier.
 
-    The logit of a class is the cosine to its mean vector. The few class means
-    are a scalar subquery, so the table is scanned without a join.
+    The logit of a class is the cosine to its mean vector, rounded only if
+    ``digits`` is given. The few class means are a scalar subquery, so the table
+    is scanned without a join.
     """
     means = mean_vectors(df.filter(F.col(label).isNotNull()), [label], vector).limit(MOST_CLASSES + 1)
     classes = means.agg(
@@ -42,7 +46,7 @@ def predictions(df: DataFrame, row_id: str, vector: str, label: str) -> DataFram
         row_id,
         label,
         F.transform(
-            "_classes", lambda c: F.round(V.cosine(F.col(vector), c.getField("mean")), SCORE_DIGITS)
+            "_classes", lambda c: rounded(V.cosine(F.col(vector), c.getField("mean")), digits)
         ).alias("logits"),
         F.col("_classes.label").alias("_labels"),
     )
@@ -73,9 +77,11 @@ def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
     return grid.join(counts, [truth, pred], "left").fillna(0, ["n"])
 
 
-def confusion_wide(matrix: DataFrame, truth: str, pred: str, classes: Sequence) -> DataFrame:
-    """One row per true class, one column per predicted class."""
-    return matrix.groupBy(truth).pivot(pred, list(classes)).agg(F.first("n")).fillna(0)
+def confusion_wide(matrix: DataFrame, truth: str, pred: str, classes: Sequence | None = None) -> DataFrame:
+    """One row per true class, one column per predicted class; by default every class predicted."""
+    wide = matrix.groupBy(truth)
+    wide = wide.pivot(pred) if classes is None else wide.pivot(pred, list(classes))
+    return wide.agg(F.first("n")).fillna(0)
 
 
 def per_class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -124,22 +130,25 @@ def macro_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def rank_auc(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, auc, n_pos, n_neg`` from ``keys, score, is_pos``; ties count half.
+    """``keys, auc, n_pos, n_neg`` from ``keys, score, is_pos``; equal scores count half.
 
-    Rows are first summed up per score, in the task that reads them. Ranks are
-    then taken inside slices of the score range, and the slices are added up, so
-    that no task ever holds all scores of a key.
+    Rows are first summed up per exact score, in the task that reads them. The
+    sums are dealt into ranges of (keys, score) of equal size; ranks are taken
+    inside the ranges and the ranges are added up, so that no task ever holds
+    all scores of a key, however they are spread.
     """
-    score = F.round("score", SCORE_DIGITS)
-    per_score = (
-        scored.select(*keys, score.alias("score"), F.floor(score * SCORE_BUCKETS).alias("part"), "is_pos")
-        .groupBy(*keys, "part", "score")
-        .agg(F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg"))
+    spark = scored.sparkSession
+    per_score = scored.groupBy(*keys, "score").agg(
+        F.sum("is_pos").alias("pos"), F.sum(1 - F.col("is_pos")).alias("neg")
+    )
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(
+        per_score.repartitionByRange(ranges, *keys, "score").withColumn("part", F.spark_partition_id())
     )
     below = Window.partitionBy(*keys, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     beaten = F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2
     parts = (
-        per_score.withColumn("won", F.col("pos") * beaten)
+        placed.withColumn("won", F.col("pos") * beaten)
         .groupBy(*keys, "part")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("won").alias("won"))
     )
@@ -269,12 +278,17 @@ def early_stop(epochs: DataFrame, metric: str, patience: int = 5, mode: str = "m
 
 def perplexity(log: DataFrame, keys: Sequence[str], loss: str) -> DataFrame:
     """``keys, mean_loss, perplexity``; infinite when the loss is too large."""
-    mean = log.groupBy(*keys).agg(F.round(F.avg(loss), 6).alias("mean_loss"))
+    mean = log.groupBy(*keys).agg(F.avg(loss).alias("mean_loss"))
     return mean.withColumn("perplexity", F.exp("mean_loss"))
 
 
 def pair_scores(
-    pairs: DataFrame, points: DataFrame, row_id: str, vector: str, temperature: float = 0.05
+    pairs: DataFrame,
+    points: DataFrame,
+    row_id: str,
+    vector: str,
+    temperature: float = 0.05,
+    digits: int | None = None,
 ) -> DataFrame:
     """``anchor_id, scores``: scaled cosines of an anchor to its samples, in slot order.
 
@@ -282,7 +296,7 @@ def pair_scores(
     """
     sample = points.select(F.col(row_id).alias("sample_id"), F.col(vector).alias("sample_vector"))
     anchor = points.select(F.col(row_id).alias("anchor_id"), F.col(vector).alias("anchor_vector"))
-    cos = F.round(V.cosine(F.col("anchor_vector"), F.col("sample_vector")), SCORE_DIGITS)
+    cos = rounded(V.cosine(F.col("anchor_vector"), F.col("sample_vector")), digits)
     scored = (
         pairs.select("anchor_id", "slot", "sample_id")
         .join(sample, "sample_id")

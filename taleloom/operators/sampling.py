@@ -99,8 +99,9 @@ def pair_samples(
     """``anchor_id, anchor_label, slot, kind, sample_id, sample_label``.
 
     Slots ``1 .. positives`` hold other rows of the anchor's class, the following
-    ones rows of other classes. No sample repeats and the anchor is never drawn;
-    a class that is too small yields fewer positives.
+    ones rows of other classes: a place hashed from the anchor, and then even
+    strides through all rows of other classes. No sample repeats and the anchor
+    is never drawn; a class that is too small yields fewer positives.
     """
     ranked = class_positions(df, label, row_id, seed)
     anchor = ranked.select(
@@ -110,7 +111,9 @@ def pair_samples(
     shift = F.explode(F.sequence(F.lit(1), F.lit(positives + negatives)))
     slots = anchor.withColumn("slot", shift)
     is_positive = F.col("slot") <= positives
-    skipped = (F.col("g") * SPREAD + F.col("slot") - positives - 1) % F.greatest(others, F.lit(1))
+    stride = F.greatest(F.floor(others / max(negatives, 1)), F.lit(1))
+    begin = F.conv(F.substring(order_key(f"negatives-{seed}", F.col("anchor_id")), 1, 8), 16, 10).cast("bigint")
+    skipped = (begin + (F.col("slot") - positives - 1) * stride) % F.greatest(others, F.lit(1))
     away = F.when(skipped < F.col("start"), skipped).otherwise(skipped + F.col("n"))
     near = F.col("start") + (F.col("r") + F.col("slot")) % F.col("n")
     enough = F.when(is_positive, F.col("slot") < F.col("n")).otherwise(F.col("slot") - positives <= others)

@@ -129,8 +129,9 @@ tf AS (SELECT doc_id, token, count(*) AS tf FROM toks GROUP BY ALL),
 spread AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 weights AS (SELECT doc_id, tf.token, tf * ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) AS w
   FROM tf JOIN spread ON spread.token = tf.token)
-SELECT doc_id, count(*) AS terms, string_agg(token || '=' || CAST(round(w * 1000000) AS BIGINT), ',' ORDER BY token) AS tfidf
-FROM weights GROUP BY doc_id""",
+SELECT d.doc_id, count(token) AS terms,
+  coalesce(string_agg(token || '=' || CAST(round(w * 1000000) AS BIGINT), ',' ORDER BY token), '') AS tfidf
+FROM documents d LEFT JOIN weights w ON w.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def t6_tfidf_map(spark, sf_dir):
     docs = tables.texts(spark, sf_dir)

@@ -71,7 +71,7 @@ preds AS (SELECT *, list_transform(logits, lambda x: exp(x - list_max(logits)) /
 
 
 def predictions(spark, sf_dir):
-    return met.predictions(tables.vectors(spark, sf_dir), "vec_id", "embedding", "label")
+    return met.predictions(tables.vectors(spark, sf_dir), "vec_id", "embedding", "label", digits=6)
 
 
 @query(
@@ -105,7 +105,9 @@ LOSS_BASE = ctes(VECS, POINTS, PAIR_SAMPLES, SCORES)
 
 
 def scores(spark, sf_dir):
-    return met.pair_scores(pair_samples(spark, sf_dir), tables.vectors(spark, sf_dir), "vec_id", "embedding")
+    return met.pair_scores(
+        pair_samples(spark, sf_dir), tables.vectors(spark, sf_dir), "vec_id", "embedding", digits=6
+    )
 
 
 @query(
@@ -234,7 +236,7 @@ def i4_confusion_matrix(spark, sf_dir):
     return cat.decode_labels(cat.decode_labels(matrix, labels, "label", "true_name"), labels, "pred", "pred_name")
 
 
-AUCS = """score_rows AS (SELECT vec_id, label, generate_subscripts(probs, 1) - 1 AS c, round(unnest(probs), 6) AS s FROM preds),
+AUCS = """score_rows AS (SELECT vec_id, label, generate_subscripts(probs, 1) - 1 AS c, unnest(probs) AS s FROM preds),
 ordered AS (SELECT x.label AS a, y.label AS b, avg(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN 0.5 ELSE 0.0 END) AS auc
   FROM score_rows x JOIN score_rows y ON x.c = y.c AND x.c = x.label AND y.label <> x.label GROUP BY 1, 2),
 sizes AS (SELECT label, count(*) AS n FROM preds GROUP BY label),
@@ -334,12 +336,12 @@ def e12_early_stop(spark, sf_dir):
 @query(
     "i7_perplexity",
     ctes(LOG)
-    + """SELECT run, phase, round(avg(loss), 6) AS mean_loss, round(exp(round(avg(loss), 6)), 4) AS perplexity
+    + """SELECT run, phase, round(avg(loss), 6) AS mean_loss, round(exp(avg(loss)), 4) AS perplexity
 FROM log GROUP BY run, phase""",
 )
 def i7_perplexity(spark, sf_dir):
     rows = met.perplexity(tables.metric_log(spark, sf_dir), ["run", "phase"], "loss")
-    return rows.withColumn("perplexity", F.round("perplexity", 4))
+    return rows.withColumn("mean_loss", F.round("mean_loss", 6)).withColumn("perplexity", F.round("perplexity", 4))
 
 
 @query(
@@ -355,4 +357,4 @@ QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, near_label) = 1"
 )
 def m4_nearest_vote(spark, sf_dir):
     split = smp.hash_split(tables.vectors(spark, sf_dir), "vec_id", 0.1, 42)
-    return models.nearest_vote(split, "vec_id", "embedding", "label", 3)
+    return models.nearest_vote(split, "vec_id", "embedding", "label", 3, digits=6)

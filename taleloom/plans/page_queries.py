@@ -277,9 +277,12 @@ def a7_story_export(spark, sf_dir):
 
 @query(
     "a13_pages_once",
-    """WITH p AS (SELECT page_id, regexp_replace(url, '[0-9]+.*$', '') AS url, html FROM pages)
+    """WITH p AS (SELECT page_id, url, html FROM pages
+  UNION ALL SELECT -1 - page_id, url, html FROM pages WHERE page_id % 3 = 0)
 SELECT page_id, url, length(html) AS size FROM p QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""",
 )
 def a13_pages_once(spark, sf_dir):
-    stems = pages(spark, sf_dir).withColumn("url", F.regexp_replace("url", "[0-9]+.*$", ""))
-    return pg.first_pages(stems).select("page_id", "url", F.length("html").cast("bigint").alias("size"))
+    """A third of the pages come twice."""
+    first = tables.load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    again = first.filter(F.col("page_id") % 3 == 0).withColumn("page_id", -1 - F.col("page_id"))
+    return pg.first_pages(first.union(again)).select("page_id", "url", F.length("html").cast("bigint").alias("size"))

@@ -263,7 +263,7 @@ def s1_stacked_catalogues(spark, sf_dir):
 FROM vecs ORDER BY cos DESC, vec_id LIMIT 10""",
 )
 def g1_nearest_to_one(spark, sf_dir):
-    return sim.nearest(tables.vectors(spark, sf_dir), "vec_id", "embedding", 7, 10)
+    return sim.nearest(tables.vectors(spark, sf_dir), "vec_id", "embedding", 7, 10, digits=6)
 
 
 @query(
@@ -279,7 +279,7 @@ def g2_nearest_to_several(spark, sf_dir):
     vectors = tables.vectors(spark, sf_dir)
     first = vectors.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     wanted = vectors.join(first, ["label", "vec_id"], "left_semi")
-    near = sim.nearest_to_few(vectors, "vec_id", "embedding", wanted, 10)
+    near = sim.nearest_to_few(vectors, "vec_id", "embedding", wanted, 10, digits=6)
     return near.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -293,7 +293,7 @@ FROM scored QUALIFY place <= 5""".lstrip(),
 )
 def g2_nearest_to_all(spark, sf_dir):
     vectors = tables.vectors(spark, sf_dir)
-    near = sim.nearest_to_many(vectors, vectors, "vec_id", "embedding", 5)
+    near = sim.nearest_to_many(vectors, vectors, "vec_id", "embedding", 5, digits=6)
     return near.withColumn("place", F.col("place").cast("bigint"))
 
 
@@ -315,15 +315,25 @@ def g4_seeded_shuffle(spark, sf_dir):
     return smp.seeded_shuffle(tables.load(spark, sf_dir, "documents").select("doc_id"), "doc_id", 9)
 
 
-PAIRS = """pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cos
-  FROM (SELECT min(vec_id) AS vec_id, v, count(*) AS n FROM vecs GROUP BY v) a
-  JOIN (SELECT min(vec_id) AS vec_id, v, count(*) AS n FROM vecs GROUP BY v) b ON a.vec_id < b.vec_id)"""
+PAIRS = """classes AS (SELECT min(vec_id) AS vec_id, v, list(vec_id) AS ids FROM vecs GROUP BY v),
+pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS cos
+  FROM classes a JOIN classes b ON a.vec_id < b.vec_id
+  UNION ALL SELECT vec_id, copy, 1.0 FROM classes, unnest(ids) AS c(copy) WHERE copy <> vec_id)"""
+# Blocks this small give several cells and blocks even on small tables.
+PAIR_BLOCK = 256
+
+
+def _copies(df):
+    """Exact copies, each paired with the row that stands for its vector."""
+    copies = sim.exact_copies(df, "vec_id", "embedding")
+    return copies.select(F.col("copy_of").alias("id_a"), F.col("vec_id").alias("id_b"))
 
 
 @query("d7_similar_pairs", ctes(VECS, PAIRS) + "SELECT id_a, id_b, cos FROM pairs WHERE cos >= 0.3")
 def d7_similar_pairs(spark, sf_dir):
-    pairs = sim.similar_pairs(tables.load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.3)
-    return pairs.select("id_a", "id_b", "cos")
+    df = tables.load(spark, sf_dir, "embeddings")
+    pairs = sim.similar_pairs(df, "vec_id", "embedding", 0.3, PAIR_BLOCK, digits=6).select("id_a", "id_b", "cos")
+    return pairs.unionByName(_copies(df).withColumn("cos", F.lit(1.0)))
 
 
 @query(
@@ -331,5 +341,6 @@ def d7_similar_pairs(spark, sf_dir):
     ctes(VECS, PAIRS) + "SELECT id_a, id_b, round(1 - cos, 6) AS distance FROM pairs WHERE cos >= 0.35",
 )
 def h5_near_pairs(spark, sf_dir):
-    pairs = sim.near_pairs(tables.load(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.65)
-    return pairs.select("id_a", "id_b", "distance")
+    df = tables.load(spark, sf_dir, "embeddings")
+    pairs = sim.near_pairs(df, "vec_id", "embedding", 0.65, PAIR_BLOCK, digits=6)
+    return pairs.select("id_a", "id_b", "distance").unionByName(_copies(df).withColumn("distance", F.lit(0.0)))

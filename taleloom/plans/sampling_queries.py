@@ -170,9 +170,10 @@ PAIR_SAMPLES = """slots AS (SELECT a.*, t.slot FROM ranked a, range(1, 8) t(slot
 wanted AS (SELECT vec_id AS anchor_id, label AS anchor_label, slot, 'positive' AS kind, start + (r + slot) % n AS g
   FROM slots WHERE slot <= 2 AND slot < n
   UNION ALL SELECT vec_id, label, slot, 'negative',
-    CASE WHEN (g * 7919 + slot - 3) % (total - n) < start THEN (g * 7919 + slot - 3) % (total - n)
-         ELSE (g * 7919 + slot - 3) % (total - n) + n END
-  FROM slots WHERE slot > 2 AND slot - 2 <= total - n),
+    CASE WHEN far < start THEN far ELSE far + n END
+  FROM (SELECT *, CAST(CAST('0x' || substr(md5('negatives-5:' || vec_id), 1, 8) AS BIGINT)
+      + (slot - 3) * greatest((total - n) // 5, 1) AS BIGINT) % (total - n) AS far
+    FROM slots WHERE slot > 2 AND slot - 2 <= total - n)),
 pair_samples AS (SELECT w.anchor_id, w.anchor_label, CAST(w.slot AS INTEGER) AS slot, w.kind,
   x.vec_id AS sample_id, x.label AS sample_label FROM wanted w JOIN ranked x ON x.g = w.g)"""
 
