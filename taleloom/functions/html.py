@@ -56,6 +56,15 @@ def element(html: Column, name: str) -> Column:
     return tag_free(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1))
 
 
+def marked_element(html: Column, name: str, attribute: str, value: str) -> Column:
+    """Text of the first element of that name with ``attribute="value"``, empty when there is none."""
+    return tag_free(F.regexp_extract(html, marked_pattern(name, attribute, value), 1))
+
+
+def marked_pattern(name: str, attribute: str, value: str) -> str:
+    return rf'(?is)<{name}\b[^>]*\b{attribute}="{value}"[^>]*>(.*?)</{name}>'
+
+
 def blocks(part: Column) -> Column:
     """Texts of the paragraphs, quotes, centred tables and bare text in a piece of source."""
     found = F.regexp_extract_all(part, F.lit(BLOCK), F.lit(0))

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.functions import html as H
+from taleloom.functions.codes import split_heading
 from taleloom.functions.text import strip
+from taleloom.functions.vectors import bind
 
 # Headings that start like this hold no story.
 SKIPPED_HEADINGS = ["Links to ", "Bibliography ", "Notes and Bibliography", "Additional", "Related "]
@@ -123,76 +125,111 @@ def _after(source: Column, closing: str) -> Column:
 
 
 def page_stories(pages: DataFrame, single_story_url: str) -> DataFrame:
-    """``page_id, url, pos, layout, title, origin, text``: the stories of each page.
-
-    ``single``: the address matches a pattern, the page holds one story and its
-    origin is the block after the title. ``plain``: no section headings, one
-    story under the first heading, with the first link as origin. ``sections``:
-    one story per section heading; the first one is a table of contents, and
-    boilerplate headings are left out.
+    """``page_id, url, pos, layout, title, origin, text``: the stories of each page, in one pass.
+
+    ``single``: the address matches a pattern; the page holds one story, and its
+    origin is the element after the first heading. ``plain``: no section headings;
+    one story below the centred header, which holds title and origin (its first
+    link); without a centred header the first heading is the header. ``sections``:
+    one story per section heading, with the element after it as origin (the
+    ``h3`` in it, if a link or italics hold one); the first section is a table of
+    contents, and boilerplate headings are left out.
     """
-    clean = H.without_noise(F.col("html"))
-    base = pages.select("page_id", "url", clean.alias("src"))
-    heads = F.regexp_extract_all("src", F.lit(r"(?i)<h2\b"), F.lit(0))
+    src = F.col("src")
     layout = (
         F.when(F.col("url").rlike(single_story_url), "single")
-        .when(F.size(heads) == 0, "plain")
+        .when(~src.rlike(r"(?i)<h2\b"), "plain")
         .otherwise("sections")
     )
-    shaped = base.withColumn("layout", layout)
-    body = _after(F.col("src"), "</h1>")
-    first_block = F.coalesce(F.get(H.blocks(F.col("body")), F.lit(0)), F.lit(""))
-    single = (
-        shaped.filter(F.col("layout") == "single")
-        .withColumn("body", body)
-        .select(
-            "page_id",
-            "url",
-            F.lit(0).alias("pos"),
-            "layout",
-            H.element(F.col("src"), "h1").alias("title"),
-            first_block.alias("origin"),
-            _rest_text(F.col("body")).alias("text"),
+    shaped = pages.select("page_id", "url", H.without_noise(F.col("html")).alias("src")).withColumn("layout", layout)
+
+    def story(pos: Column, title: Column, origin: Column, text: Column) -> Column:
+        return F.struct(pos.alias("pos"), title.alias("title"), origin.alias("origin"), text.alias("text"))
+
+    def below(pos: Column, title: Column, source: Column) -> Column:
+        """A story whose origin is the first element of a piece of source."""
+        return bind(
+            F.regexp_extract(source, FIRST_ELEMENT, 0),
+            lambda first: story(
+                pos, title, _origin(first), H.consecutive_text(F.substring(source, F.length(first) + 1, F.length(source)))
+            ),
         )
+
+    none = F.lit(0)
+    single = F.array(below(none, H.element(src, "h1"), _after(src, "</h1>")))
+    centred = src.rlike(r"(?is)<center\b.*?</center>")
+    header = F.when(centred, F.regexp_extract(src, r"(?is)<center\b[^>]*>(.*?)</center>", 1)).otherwise(
+        F.regexp_extract(src, r"(?is)(<h1\b.*?</h1>)", 1)
+    )
+    rest = F.when(centred, _after(src, "</center>")).otherwise(_after(src, "</h1>"))
+    plain = F.array(story(none, H.element(header, "h1"), H.element(header, "a"), H.consecutive_text(rest)))
+    parts = F.split(src, r"(?i)<h2\b[^>]*>")
+    sections = F.transform(
+        parts,
+        lambda part, i: below(
+            i, H.tag_free(F.regexp_extract(part, "(?is)^(.*?)</h2>", 1)), F.regexp_extract(part, "(?is)</h2>(.*)$", 1)
+        ),
+    )
+    wanted = F.filter(sections, lambda s: (s.pos > 1) & ~_starts_with_any(s.title, SKIPPED_HEADINGS))
+    stories = F.when(F.col("layout") == "single", single).when(F.col("layout") == "plain", plain).otherwise(wanted)
+    return shaped.select("page_id", "url", "layout", F.inline(stories)).select(
+        "page_id", "url", "pos", "layout", "title", "origin", "text"
     )
-    plain = (
-        shaped.filter(F.col("layout") == "plain")
-        .withColumn("body", body)
+
+
+_ELEMENTS = "p h1 h2 h3 h4 h5 h6 a i b em strong u div span font blockquote center table ul ol pre article".split()
+FIRST_ELEMENT = (
+    r"(?is)^[^<]*(?:<(?:br|hr|img)\b[^>]*>|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in _ELEMENTS) + ")"
+)
+
+
+def _origin(first: Column) -> Column:
+    element = F.regexp_replace(first, "^[^<]*", "")
+    inner = element.rlike(r"(?is)^<[ai]\b.*<h3\b")
+    return F.when(inner, H.element(element, "h3")).otherwise(H.tag_free(element))
+
+
+def region_links(pages: DataFrame) -> DataFrame:
+    """``page_id, section, region, pos, href, anchor``: links of the first list below each heading."""
+    clean = H.without_noise(F.col("html"))
+    rows = pages.select("page_id", F.posexplode(F.split(clean, HEADING)).alias("section", "part"))
+    first = F.regexp_extract("part", r"(?is)<ul\b[^>]*>(.*?)</ul>", 1)
+    listed = F.array_join(F.regexp_extract_all(first, F.lit(H.ITEM), F.lit(1)), "\n")
+    both = F.arrays_zip(
+        F.regexp_extract_all("items", F.lit(H.LINK), F.lit(1)).alias("href"),
+        F.regexp_extract_all("items", F.lit(H.LINK), F.lit(2)).alias("anchor"),
+    )
+    return (
+        rows.filter(F.col("section") > 0)
         .select(
             "page_id",
-            "url",
-            F.lit(0).alias("pos"),
-            "layout",
-            H.element(F.col("src"), "h1").alias("title"),
-            H.element(F.col("src"), "a").alias("origin"),
-            H.consecutive_text(F.col("body")).alias("text"),
+            "section",
+            H.tag_free(F.regexp_extract("part", "(?s)^(.*?)</", 1)).alias("region"),
+            listed.alias("items"),
         )
-    )
-    heading = H.tag_free(F.regexp_extract("part", "(?is)^(.*?)</h2>", 1))
-    kept = ~_starts_with_any(F.col("title"), SKIPPED_HEADINGS)
-    under = _after(F.col("part"), "</h2>")
-    origin = F.regexp_extract("under", r"(?is)^[^<]*<(?:a|i|h3|p|b)\b[^>]*>(.*?)</(?:a|i|h3|p|b)>", 1)
-    sections = (
-        shaped.filter(F.col("layout") == "sections")
-        .select("page_id", "url", "layout", F.posexplode(F.split("src", r"(?i)<h2\b[^>]*>")).alias("pos", "part"))
-        .filter(F.col("pos") > 1)
-        .withColumn("title", heading)
-        .filter(kept)
-        .withColumn("under", under)
+        .select("page_id", "section", "region", F.posexplode(both).alias("pos", "link"))
         .select(
-            "page_id",
-            "url",
-            "pos",
-            "layout",
-            "title",
-            H.tag_free(origin).alias("origin"),
-            H.consecutive_text(F.regexp_replace("under", _FIRST_ELEMENT, "")).alias("text"),
+            "page_id", "section", "region", "pos", F.col("link.href").alias("href"),
+            H.tag_free(F.col("link.anchor")).alias("anchor"),
         )
-    )
-    return single.unionByName(plain).unionByName(sections)
+    )
 
 
-_FIRST_ELEMENT = r"(?is)^[^<]*<(?:a|i|h3|p|b)\b[^>]*>.*?</(?:a|i|h3|p|b)>"
+def linked_stories(index: DataFrame, pages: DataFrame, prefix: str, single_story_url: str) -> DataFrame:
+    """``atu, desc, title, origin, text, url``: stories of the pages that index pages link to.
+
+    An index link's text is a code, a blank and a description; the first link to
+    an address counts. Blank stories are dropped and all fields are trimmed.
+    """
+    atu, desc = split_heading(F.col("anchor"))
+    found = links(index).filter(F.col("href").startswith(prefix)).filter(F.col("anchor").contains(" "))
+    first = found.groupBy("href").agg(F.min(F.struct("page_id", "pos", "anchor")).alias("f"))
+    named = first.select(F.col("href").alias("url"), F.col("f.anchor").alias("anchor")).select(
+        "url", atu.alias("atu"), desc.alias("desc")
+    )
+    stories = page_stories(pages, single_story_url).join(named, "url")
+    text = F.array(F.struct("title", "origin", "text"))
+    return story_export(stories.select("url", "atu", "desc", text.alias("texts")))
 
 
 def _starts_with_any(text: Column, prefixes: list[str]) -> Column:
@@ -202,14 +239,6 @@ def _starts_with_any(text: Column, prefixes: list[str]) -> Column:
     return out
 
 
-def _rest_text(source: Column) -> Column:
-    """Consecutive text without its first block."""
-    runs = F.transform(F.split(source, H.SECTION_END), H.blocks)
-    found = F.get(F.filter(runs, lambda r: F.size(r) > 0), F.lit(0))
-    rest = F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0)))
-    return F.coalesce(F.array_join(rest, "\n"), F.lit(""))
-
-
 def story_export(nested: DataFrame) -> DataFrame:
     """One trimmed row per text of the nested page records; blank texts are dropped."""
     rows = nested.select("url", "atu", "desc", F.explode("texts").alias("t"))

@@ -98,18 +98,30 @@ def d6_first_visits(spark, sf_dir):
     return pg.first_visits(pg.links(pages(spark, sf_dir)), visited(spark, sf_dir))
 
 
-STORY = f"""body AS (SELECT *, regexp_matches(url, '/(en|de)/') AS single, regexp_extract(src, '(?is)</h1>(.*)$', 1) AS body FROM src),
-runs AS (SELECT page_id, url, single, {element_sql('h1')} AS title, {element_sql('a')} AS link,
-  coalesce({runs_sql('body')}[1], []) AS run, coalesce({blocks_sql('body')}[1], '') AS first_block FROM body)"""
+def origin_sql(first: str) -> str:
+    """The SQL twin of the origin rule: the ``h3`` inside a link or italics, else the element's text."""
+    element = f"regexp_replace({first}, '^[^<]*', '')"
+    return (
+        rf"CASE WHEN regexp_matches({element}, '(?is)^<[ai]\b.*<h3\b') THEN {element_sql('h3', element)} "
+        f"ELSE {tag_free_sql(element)} END"
+    )
 
 
-@query(
-    "b3_page_stories",
-    ctes(SRC, STORY)
-    + r"""SELECT page_id, url, 0 AS pos, CASE WHEN single THEN 'single' ELSE 'plain' END AS layout, title,
-  CASE WHEN single THEN first_block ELSE link END AS origin,
-  array_to_string(CASE WHEN single THEN run[2:] ELSE run END, chr(10)) AS text FROM runs""",
-)
+FIRST = f"'{pg.FIRST_ELEMENT}'"
+STORY = rf"""headed AS (SELECT *, regexp_matches(url, '/(en|de)/') AS single,
+  regexp_extract(src, '(?is)</h1>(.*)$', 1) AS body, regexp_matches(src, '(?is)<center\b.*?</center>') AS centred FROM src),
+cut AS (SELECT *, regexp_extract(body, {FIRST}) AS first,
+  CASE WHEN centred THEN regexp_extract(src, '(?is)<center\b[^>]*>(.*?)</center>', 1)
+       ELSE regexp_extract(src, '(?is)(<h1\b.*?</h1>)', 1) END AS header,
+  CASE WHEN centred THEN regexp_extract(src, '(?is)</center>(.*)$', 1) ELSE body END AS below FROM headed),
+stories AS (SELECT page_id, url, 0 AS pos, CASE WHEN single THEN 'single' ELSE 'plain' END AS layout,
+  CASE WHEN single THEN {element_sql('h1')} ELSE {element_sql('h1', 'header')} END AS title,
+  CASE WHEN single THEN {origin_sql('first')} ELSE {element_sql('a', 'header')} END AS origin,
+  coalesce(array_to_string(CASE WHEN single THEN {runs_sql('substr(body, length(first) + 1)')}[1]
+    ELSE {runs_sql('below')}[1] END, chr(10)), '') AS text FROM cut)"""
+
+
+@query("b3_page_stories", ctes(SRC, STORY) + "SELECT * FROM stories")
 def b3_page_stories(spark, sf_dir):
     return pg.page_stories(pages(spark, sf_dir), "/(en|de)/")
 
@@ -150,7 +162,7 @@ titled AS (SELECT *, {tag_free_sql("regexp_extract(part, '(?is)^(.*?)</h2>', 1)"
   regexp_extract(part, '(?is)</h2>(.*)$', 1) AS under FROM parts WHERE pos > 1)
 SELECT page_id, url, CAST(pos AS INTEGER) AS pos, 'sections' AS layout, title,
   {tag_free_sql("regexp_extract(under, '(?is)<i>(.*?)</i>', 1)")} AS origin,
-  array_to_string({runs_sql("regexp_replace(under, '(?is)^<i>.*?</i>', '')")}[1], chr(10)) AS text
+  coalesce(array_to_string({runs_sql("regexp_replace(under, '(?is)^<i>.*?</i>', '')")}[1], chr(10)), '') AS text
 FROM titled WHERE NOT starts_with(title, 'Links to ')""".lstrip(),
 )
 def b3_sectioned_stories(spark, sf_dir):
@@ -248,6 +260,61 @@ def b8_links_under_headings(spark, sf_dir):
     return pg.links_under_headings(pages(spark, sf_dir))
 
 
+@query(
+    "b8_region_links",
+    ctes(SRC)
+    + rf""", parts AS (SELECT page_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS section
+  FROM (SELECT page_id, string_split_regex(src, '{pg.HEADING}') AS p FROM src)),
+listed AS (SELECT page_id, section, regexp_extract(part, '(?s)^(.*?)</', 1) AS head,
+  array_to_string(regexp_extract_all(regexp_extract(part, '(?is)<ul\b[^>]*>(.*?)</ul>', 1), '{H.ITEM}', 1), chr(10)) AS items
+  FROM parts WHERE section > 0),
+found AS (SELECT *, regexp_extract_all(items, '{H.LINK}', 1) AS h, regexp_extract_all(items, '{H.LINK}', 2) AS a FROM listed),
+rows AS (SELECT page_id, section, head, unnest(h) AS href, unnest(a) AS raw, generate_subscripts(h, 1) - 1 AS pos FROM found)
+SELECT page_id, CAST(section AS INTEGER) AS section, {tag_free_sql('head')} AS region, CAST(pos AS INTEGER) AS pos,
+  href, {tag_free_sql('raw')} AS anchor FROM rows""".lstrip(),
+)
+def b8_region_links(spark, sf_dir):
+    return pg.region_links(pages(spark, sf_dir))
+
+
+@query(
+    "b1_marked_element",
+    ctes(SRC)
+    + f"""SELECT page_id, {tag_free_sql(f"regexp_extract(src, '{H.marked_pattern('div', 'class', 'ad')}', 1)")} AS ad
+FROM src""",
+)
+def b1_marked_element(spark, sf_dir):
+    clean = H.without_noise(F.col("html"))
+    return pages(spark, sf_dir).select("page_id", H.marked_element(clean, "div", "class", "ad").alias("ad"))
+
+
+def index_pages(spark, sf_dir):
+    """Index pages derived from the page table: a list of links, each a code and the page's title."""
+    link = F.concat(
+        F.lit('<li><a href="'), "url", F.lit('">'), F.col("page_id").cast("string"), F.lit(" Type "), "heading",
+        F.lit("</a></li>"),
+    )
+    heads = pages(spark, sf_dir).select("page_id", "url", H.element(H.without_noise(F.col("html")), "h1").alias("heading"))
+    items = heads.groupBy(F.floor(F.col("page_id") / 50).alias("page_id")).agg(
+        F.array_join(F.array_sort(F.collect_list(link)), "").alias("items")
+    )
+    return items.select("page_id", F.concat(F.lit("<h3>Types</h3><ul>"), "items", F.lit("</ul>")).alias("html"))
+
+
+@query(
+    "a7_corpus_flow",
+    ctes(SRC, STORY)
+    + rf"""SELECT CAST(page_id AS VARCHAR) AS atu, trim('Type ' || heading, E' \t\n\r\f') AS "desc",
+  trim(title, E' \t\n\r\f') AS title, trim(origin, E' \t\n\r\f') AS origin, trim(text, E' \t\n\r\f') AS text,
+  trim(url, E' \t\n\r\f') AS url
+FROM stories JOIN (SELECT page_id, {tag_free_sql(element_sql('h1'))} AS heading FROM src) USING (page_id)
+WHERE trim(text, E' \t\n\r\f') <> ''""",
+)
+def a7_corpus_flow(spark, sf_dir):
+    """Index page, its links, the linked pages' stories, and the trimmed records."""
+    return pg.linked_stories(index_pages(spark, sf_dir), pages(spark, sf_dir), "http", "/(en|de)/")
+
+
 NESTED = f"""nested AS (SELECT url, {element_sql('h1')} AS h, regexp_extract_all(src, '(?is)<p>(.*?)</p>', 1) AS ps FROM src)"""
 
 

@@ -34,6 +34,31 @@ def test_story_layouts(pages):
     assert got[(3, "Type 1")].text == "Text."
 
 
+def test_origin_is_the_next_element_and_header_links_count(spark):
+    frog = "<h1>The Frog King</h1><h3>Jacob and Wilhelm Grimm</h3><p>Once upon a time.</p><p>Then more.</p>"
+    nav = "<a href='/'>Home</a><center><h1>Type 9</h1><p>by</p><a href='z'>Norway</a></center><p>A text.</p>"
+    df = spark.createDataFrame([(1, "http://x/grimm1", frog), (2, "http://x/t", nav)], "page_id long, url string, html string")
+    got = {r.page_id: (r.title, r.origin, r.text) for r in pg.page_stories(df, "grimm").collect()}
+    assert got[1] == ("The Frog King", "Jacob and Wilhelm Grimm", "Once upon a time.\nThen more.")
+    assert got[2] == ("Type 9", "Norway", "A text.")
+    assert pg.page_stories(df, "grimm")._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+
+
+def test_region_links_come_from_the_first_list(spark):
+    html = "<h3>North</h3><ul><li><a href=\"/a\">A <b>b</b></a></li></ul><ul><li><a href=\"/x\">x</a></li></ul><h3>South</h3>"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert [tuple(r)[2:] for r in pg.region_links(df).collect()] == [("North", 0, "/a", "A b")]
+
+
+def test_marked_elements(spark):
+    html = '<h1 class="other">no</h1><h1 class="song-title" id="t">The <i>Gypsy</i></h1>'
+    df = spark.createDataFrame([(html,)], "html string")
+    row = df.select(
+        H.marked_element(F.col("html"), "h1", "class", "song-title"), H.marked_element(F.col("html"), "div", "id", "t")
+    ).first()
+    assert tuple(row) == ("The Gypsy", "")
+
+
 def test_song_items(spark):
     rows = [(0, '1. "The Gypsy. Laddie" (Child 200)', True), (1, "2. No record", True), (2, "Barbara", False)]
     df = spark.createDataFrame(rows, "pos int, item string, numbered boolean")
