@@ -42,7 +42,8 @@ WIDTH = 400
 GRAM = 32
 HOT = 20_000
 PLACE_BITS = 24
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
+ROWS_AT_ONCE = 2000
 
 CLASS = ["gram", "before", "least", "content"]
 
@@ -103,7 +104,7 @@ def cover_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(BASE)
         for batch in batches:
-            for row, data, offsets in text_slices(batch.column(2)):
+            for row, data, offsets in text_slices(batch.column(2), BLOCK_BYTES):
                 for shift, part, bounds in _blocks(data, offsets, width):
                     text, start, *rest = _spans(part, bounds, powers, width, gram)
                     if len(text):
@@ -205,19 +206,21 @@ def _by_bucket(spans: DataFrame, width: int) -> DataFrame:
     """Ranges from buckets that one task sorts, one bucket after the other."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held = Powers(BASE), []
+        powers, held, rows = Powers(BASE), [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
             grams = batch.column("gram").to_numpy()
-            last = int(np.searchsorted(grams, grams[-1]))  # the last bucket may go on in the next batch
-            if last:
-                yield _repeated_runs(_joined([*held, batch.slice(0, last)]), powers, width)
-                held = []
-            elif held and held[-1].column("gram")[-1] != batch.column("gram")[0]:
+            if held and len(grams) and held[-1].column("gram")[-1].as_py() != grams[0]:
                 yield _repeated_runs(_joined(held), powers, width)
-                held = []
-            held.append(batch.slice(last))
+                held, rows = [], 0
+            first = 0
+            # Some buckets at a time; the last one may go on in the next batch.
+            for end in (np.flatnonzero(np.diff(grams)) + 1).tolist():
+                if rows + end - first >= ROWS_AT_ONCE:
+                    yield _repeated_runs(_joined([*held, batch.slice(first, end - first)]), powers, width)
+                    held, rows, first = [], 0, end
+            if first < len(grams):
+                held.append(batch.slice(first))
+                rows += len(grams) - first
         if held:
             yield _repeated_runs(_joined(held), powers, width)
 
@@ -268,12 +271,13 @@ def _by_window(spans: DataFrame, width: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``doc_id, mark, start, end``: byte ranges that cover the repeated bytes of ``doc_id, mark, text``; they overlap."""
     spans = cut_lineage(cover_spans(docs, width, gram))
-    shared = spans.groupBy("gram").count().filter("count > 1").select("gram")
+    # Stored, so that the join may split a gram that very many spans share.
+    shared = cut_lineage(spans.groupBy("gram").count().filter("count > 1").select("gram"))
     spans = cut_lineage(spans.join(shared, "gram"))
     first = F.min(F.struct(F.col("doc_id"), F.col("mark"), F.col("start"))).alias("first")
     classes = cut_lineage(spans.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("n"), first))
     buckets = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("distinct"), F.min("n").alias("rarest"))
-    mixed_buckets = buckets.filter("distinct > 1 AND rarest = 1")
+    mixed_buckets = cut_lineage(buckets.filter("distinct > 1 AND rarest = 1"))
     whole = spans.join(classes.filter("n > 1").select(*CLASS), CLASS).select(
         "doc_id", "mark", "start", (F.col("start") + F.col("before") - F.col("least") + width).alias("end")
     )
