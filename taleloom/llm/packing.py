@@ -49,6 +49,10 @@ BUCKETS = 1024
 CACHE_WORDS = 400_000
 WORDS_PER_CALL = 200
 MARKS = b",.!?;:*$%&#|"
+TEXTS_AT_ONCE = 64
+# Blanks become spaces; A-Z become a-z, except where a text may hold a special token.
+BLANKS = bytes(32 if c in b"\t\n\r" else c for c in range(256))
+FOLDED = BLANKS.lower()
 
 
 def _is_word(chunk: bytes) -> bool:
@@ -80,7 +84,7 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.encode(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: list[bytes]) -> None:
         known: dict[bytes, tuple[bytes, bytes]] = {}
         parts = set()
         for chunk in chunks:
@@ -100,9 +104,10 @@ class WordIds:
         for first in range(0, len(words), WORDS_PER_CALL):
             some = words[first : first + WORDS_PER_CALL]
             ids = self._encode([b" ".join(some).decode("utf-8")])[0]
-            ends = np.flatnonzero(self.is_end[ids]) + 1
+            ends = ((np.flatnonzero(self.is_end[ids]) + 1) * 4).tolist()
             if len(ends) == len(some):
-                self.young.update(zip(some, (x.tobytes() for x in np.split(ids, ends[:-1]))))
+                raw = ids.tobytes()
+                self.young.update(zip(some, (raw[s:e] for s, e in zip([0, *ends], ends))))
             else:
                 others.extend(some)
         if others:
@@ -110,25 +115,22 @@ class WordIds:
         for chunk, (stem, marks) in known.items():
             self.young[chunk] = self.young[stem] + self.young[marks]
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a text."""
-        raw = text.encode("utf-8")
-        if b"<|" not in raw:
-            raw = raw.lower()  # ASCII letters only
-        chunks = raw.replace(b"\n", b" ").replace(b"\t", b" ").replace(b"\r", b" ").split(b" ")
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each UTF-8 text."""
+        chunks = [t.translate(BLANKS if b"<|" in t else FOLDED).split(b" ") for t in texts]
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        try:
-            return b"".join(map(self.young.__getitem__, chunks))
-        except KeyError:
-            wanted = set(chunks).difference(self.young)
-            for chunk in list(wanted):
-                ids = self.old.get(chunk)
-                if ids is not None:
-                    self.young[chunk] = ids
-                    wanted.discard(chunk)
-            self._learn(wanted)
-            return b"".join(map(self.young.__getitem__, chunks))
+        missing = []
+        for chunk in set().union(*chunks):
+            if chunk not in self.young:
+                if chunk in self.old:
+                    self.young[chunk] = self.old[chunk]
+                else:
+                    missing.append(chunk)
+        if missing:
+            self._learn(missing)
+        get = self.young.__getitem__
+        return [b"".join(map(get, c)) for c in chunks]
 
 
 _coders: dict[str, WordIds] = {}
@@ -152,15 +154,18 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int
         coder = _coder(tokenizer)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(2)):
-                ids = coder.ids(text.as_py() or "") + end
-                for p, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append(i)
-                    piece.append(p)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
+            texts = batch.column(2).fill_null("").cast(pa.large_binary())
+            for first in range(0, len(texts), TEXTS_AT_ONCE):
+                coded = coder.ids(texts.slice(first, TEXTS_AT_ONCE).to_pylist())
+                for i, ids in enumerate(coded, first):
+                    ids += end
+                    for p, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        rows.append(i)
+                        piece.append(p)
+                        start.append(at // 4)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
             at = pa.array(rows, pa.int64())
             numbers = [pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(
