@@ -90,7 +90,8 @@ def a10_stored_split(spark, sf_dir):
     def build():
         return smp.stratified_split(labelled(spark, sf_dir), "label_id", "story_id", "80_10_10", SEED)
 
-    stored = store.stored_split(spark, root, "80_10_10", build)
+    store.stored_split(spark, root, "80_10_10", build, SEED)
+    stored = store.stored_split(spark, root, "80_10_10", build, SEED)
     return stored.groupBy("split", "label_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("story_id").alias("first_id")
     )

@@ -13,6 +13,7 @@ def build_session(
     master: str | None = None,
     shuffle_partitions: int | None = None,
     extra: dict[str, str] | None = None,
+    initial_partitions: int = 4096,
 ) -> SparkSession:
     """A session with UTC time, adaptive execution, skew-join splitting and stream state on disk.
 
@@ -25,6 +26,8 @@ def build_session(
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Many small partitions at first; adaptive execution joins them by measured size.
+        .config("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.filterPushdown", "true")
         .config(
@@ -52,6 +55,7 @@ def local_session(cpus: int | str = 8) -> SparkSession:
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
         },
+        initial_partitions=8,
     )
 
 
@@ -65,7 +69,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
         return named
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     own = tempfile.mkdtemp(prefix="taleloom-ckpt-")
     sc.setCheckpointDir(own)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ class TableStore:
     def _versions(self, key: str) -> list[str]:
         folder = f"{self.root}/{key}"
         names = [n for n in child_names(self.spark, folder) if n.startswith("v")]
-        return [f"{folder}/{n}" for n in names]
+        return [f"{folder}/{n}" for n in sorted(names)]
 
     def keys(self) -> list[str]:
         return [k for k in child_names(self.spark, self.root) if any(
@@ -31,7 +32,8 @@ class TableStore:
         )]
 
     def write(self, key: str, df: DataFrame) -> None:
-        path = f"{self.root}/{key}/v{len(self._versions(key)) + 1:08d}"
+        """Two writers at a time make a version each; which is read is settled by name."""
+        path = f"{self.root}/{key}/v{len(self._versions(key)) + 1:08d}-{uuid.uuid4().hex}"
         df.write.parquet(path)
 
     def read(self, key: str) -> DataFrame:
@@ -60,9 +62,11 @@ def cached_dataset(
     return spark.read.parquet(path)
 
 
-def stored_split(spark: SparkSession, root: str, spec: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The ``id, split`` table of a split spec, drawn once and then reused."""
-    path = f"{root.rstrip('/')}/{spec}"
+def stored_split(
+    spark: SparkSession, root: str, spec: str, build: Callable[[], DataFrame], seed: int | str = 0
+) -> DataFrame:
+    """The ``id, split`` table of a split spec and seed, drawn once and then reused."""
+    path = f"{root.rstrip('/')}/{spec}_seed-{seed}"
     if not is_complete(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

@@ -48,6 +48,16 @@ def test_grid_search_orders_by_accuracy(spark, small):
     assert len(scores) == 4 and scores == sorted(scores, reverse=True)
 
 
+def test_random_search_is_seeded(spark, small):
+    rows = [tuple(r) for r in QUERIES["m7_random_search"](spark, small).collect()]
+    assert len(rows) == 20 and all(1e-4 <= r[0] <= 1 and 0 <= r[1] <= 1 for r in rows)
+    assert [r[2] for r in rows] == sorted((r[2] for r in rows), reverse=True)
+
+
+def test_nearest_vote_is_compared(spark, small):
+    assert {r.model for r in QUERIES["m6_compared_models"](spark, small).collect()} >= {"nearest_3", "linear_svm"}
+
+
 def test_user_encoder_is_loaded_per_task(spark):
     df = spark.range(7).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
 
