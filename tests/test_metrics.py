@@ -127,3 +127,11 @@ def test_attention_with_projections(spark):
     zero, swap = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 3.0], [1.0, 0.0]]
     got = {r.code: list(r.emb) for r in attention_pool(df, "code", "id", "v", 2, 1, 1, (zero, None, swap)).collect()}
     assert got["a"] == pytest.approx([1.5, 0.5]) and got["b"] == pytest.approx([6.0, 2.0])
+
+
+def test_auc_tells_tiny_scores_apart(spark):
+    rows = [("k", 3e-7, 0), ("k", 2.9e-7, 0), ("k", 4.1e-7, 1), ("k", 4.2e-7, 1)]
+    rows += [("t", 1.0, i % 2) for i in range(10)] + [("r", 1 - i * 1e-12, int(i > 50)) for i in range(101)]
+    df = spark.createDataFrame(rows, "key string, score double, is_pos int")
+    got = {r.key: (r.auc, r.n_pos, r.n_neg) for r in met.rank_auc(df, ["key"]).collect()}
+    assert got == {"k": (1.0, 2, 2), "t": (0.5, 5, 5), "r": (0.0, 50, 51)}

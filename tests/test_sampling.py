@@ -143,3 +143,13 @@ def test_natural_join_matches_null_keys(spark):
     a = spark.createDataFrame([(1, None, "p")], "k long, t string, x string")
     b = spark.createDataFrame([(1, None, "q")], "k long, t string, y string")
     assert [tuple(r) for r in relational.natural_join(a, b).collect()] == [(1, None, "p", "q")]
+
+
+def test_negatives_are_spread_over_classes(spark):
+    df = spark.range(500).selectExpr("id", "int(id % 10) label")
+    rows = smp.pair_samples(df, "label", "id", 2, 5, seed=5).filter("kind = 'negative'").collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.anchor_id, []).append((r.sample_id, r.sample_label, r.anchor_label))
+    assert all(len({x[0] for x in v}) == 5 and all(x[1] != x[2] for x in v) for v in seen.values())
+    assert sum(len({x[1] for x in v}) >= 4 for v in seen.values()) > 0.9 * len(seen) == 450
