@@ -32,6 +32,11 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digest(load(spark, sf_dir, "documents"))
 
 
+@query("op1_line_dedup_whole")
+def line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digest(load(spark, sf_dir, "documents"), whole=True)
+
+
 OP2 = """WITH v AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
