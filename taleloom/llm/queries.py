@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taleloom.llm import chat, decontaminate, lines, packing, quality, repeats, sharding, simhash, topk, url_filter
+from taleloom.llm import (
+    chat, decontaminate, lines, packing, quality, repeats, rules, sharding, simhash, topk, url_filter,
+)
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
 
@@ -166,3 +168,37 @@ GROUP BY page_id, host, path"""
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+OP11 = r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+s AS (SELECT doc_id, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+numbered AS (SELECT row_number() OVER () AS r, * FROM s),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+  FROM numbered, unnest(range(1, len(w) - 1)) AS u(i)),
+again AS (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM windows
+  QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+places AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM again GROUP BY r),
+tops AS (SELECT r, max(c) AS top_word FROM (SELECT r, word, count(*) AS c FROM (
+  SELECT r, unnest(w) AS word FROM numbered) GROUP BY r, word) GROUP BY r),
+f AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda v: length(v))), 0) AS word_chars,
+  length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(lines) AS n_lines, length(regexp_replace(x, '[^A-Z]', '', 'g')) AS n_upper,
+  length(regexp_replace(x, '[^A-Za-z]', '', 'g')) AS n_letters, len(string_split(x, '!!')) - 1 AS n_exclaimed,
+  len(list_filter(lines, lambda l: regexp_matches(l, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
+  coalesce(top_word, 0) AS top_word
+  FROM numbered LEFT JOIN places USING (r) LEFT JOIN tops USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+  CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+    OR (n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines) OR 2 * n_upper > n_letters OR 10 * n_exclaimed > n_words
+    OR 10 * n_cut_lines > 3 * n_lines OR 10 * top_word > 3 * n_words) AS kept
+FROM b"""
+
+
+@query("op11_quality_rules", OP11)
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(load(spark, sf_dir, "documents"))
