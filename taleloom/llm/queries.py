@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleloom.llm import (
-    chat, decontaminate, lines, packing, quality, repeats, rules, sharding, simhash, topk, url_filter,
+    chat, decontaminate, lines, packing, phrases, quality, repeats, rules, sharding, simhash, topk, url_filter,
 )
 from taleloom.llm.tokenizer import WORD_BPE
 from taleloom.tables import load
@@ -202,3 +202,33 @@ FROM b"""
 @query("op11_quality_rules", OP11)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(load(spark, sf_dir, "documents"))
+
+
+OP13 = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM w GROUP BY lang),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS r(i)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.a AS l, y.a AS r, n,
+  (1000 * CAST(c.a AS HUGEINT) * n) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM c, unnest(range(1, k)) AS s(j)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')
+  JOIN totals ON totals.lang = c.lang),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, unnest(range(2, k)) AS s(m), unnest(range(1, k - m + 2)) AS r(i) GROUP BY ALL),
+kept AS (SELECT lang, phrase, a, l, r, n, score FROM best LEFT JOIN longer USING (lang, phrase)
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", OP13)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(load(spark, sf_dir, "documents"))
