@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taleloom.llm import (
-    chat, decontaminate, lines, packing, phrases, quality, repeats, rules, sharding, simhash, topk, url_filter,
+    alignment, chat, decontaminate, lines, packing, phrases, quality, repeats, rules, sharding, simhash, topk, url_filter,
 )
-from taleloom.llm.tokenizer import WORD_BPE
+from taleloom.llm.tokenizer import BYTE_BPE, PIECE_BPE, WORD_BPE
 from taleloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(load(spark, sf_dir, "documents"))
 
 
+@query("op12_tokenizer_alignment")
+def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(load(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 OP13 = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang,
   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
 p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),

@@ -1,5 +1,7 @@
-"""Path of the public tokenizer that queries use; operators take any path."""
+"""Paths of the public tokenizers that queries use; operators take any path."""
 
 import public_tokenizers
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
