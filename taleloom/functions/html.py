@@ -1,41 +1,22 @@
 """Reading stories out of page source with column expressions.
 
 The patterns use no look-around and no back-references, so that any regular
-expression engine reads them the same way. Badly nested pages go through
-``parsed_text`` instead, which runs a real parser inside the tasks.
+expression engine reads them the same way. What depends on nesting works on the tag stream
+of ``tags.py``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taleloom.functions.text import strip
+from taleloom.functions.references import decoded
+from taleloom.functions.tags import stream_text, tag_stream
 
 NOISE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 TAG = "<[^>]*>"
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
 LINK = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 ITEM = r"(?is)<li\b[^>]*>(.*?)</li>"
-SECTION_END = r"(?i)<(?:h2|hr)\b[^>]*>"
-BLOCK = (
-    r"(?is)<p\b[^>]*>.*?</p>|<blockquote\b[^>]*>.*?</blockquote>|<center\b[^>]*>.*?</center>"
-    r"|<h3\b[^>]*>.*?</h3>|<i\b[^>]*>.*?</i>|<a\b[^>]*>.*?</a>|<[^>]*>|[^<]{5,}"
-)
-KEPT_BLOCK = r"(?is)^<p\b|^<blockquote\b|^<center\b.*<tr|^[^<]"
 
 
 def without_noise(html: Column) -> Column:
@@ -44,11 +25,8 @@ def without_noise(html: Column) -> Column:
 
 
 def tag_free(html: Column) -> Column:
-    """Text between the tags, with the common entities decoded."""
-    out = F.regexp_replace(html, TAG, "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    """Text between the tags, with character references decoded."""
+    return decoded(F.regexp_replace(html, TAG, ""))
 
 
 def element(html: Column, name: str) -> Column:
@@ -56,65 +34,7 @@ def element(html: Column, name: str) -> Column:
     return tag_free(F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1))
 
 
-def marked_element(html: Column, name: str, attribute: str, value: str) -> Column:
-    """Text of the first element of that name with ``attribute="value"``, empty when there is none."""
-    return tag_free(F.regexp_extract(html, marked_pattern(name, attribute, value), 1))
-
-
-def marked_pattern(name: str, attribute: str, value: str) -> str:
-    return rf'(?is)<{name}\b[^>]*\b{attribute}="{value}"[^>]*>(.*?)</{name}>'
-
-
-def blocks(part: Column) -> Column:
-    """Texts of the paragraphs, quotes, centred tables and bare text in a piece of source."""
-    found = F.regexp_extract_all(part, F.lit(BLOCK), F.lit(0))
-    kept = F.filter(found, lambda b: b.rlike(KEPT_BLOCK))
-    return F.filter(F.transform(kept, tag_free), lambda t: strip(t) != "")
-
-
-def consecutive_text(source: Column) -> Column:
-    """Paragraphs after an anchor, joined by newlines.
-
-    A section or rule ends the text once some was found, so that only the first
-    version of a story is kept.
-    """
-    runs = F.transform(F.split(source, SECTION_END), blocks)
-    found = F.filter(runs, lambda r: F.size(r) > 0)
-    return F.coalesce(F.array_join(F.get(found, F.lit(0)), "\n"), F.lit(""))
-
-
-class _TextReader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.muted = 0
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.muted += 1
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.muted:
-            self.muted -= 1
-
-    def handle_data(self, data):
-        if not self.muted:
-            self.parts.append(data)
-
-
-def _read_text(html: str) -> str:
-    reader = _TextReader()
-    reader.feed(html)
-    reader.close()
-    return "".join(reader.parts)
-
-
 def parsed_text(pages: DataFrame, row_id: str, html: str) -> DataFrame:
-    """``row_id, text``: page text read by a tolerant parser, batch by batch."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({row_id: batch[row_id], "text": [_read_text(h or "") for h in batch[html]]})
-
-    id_type = pages.schema[row_id].dataType.simpleString()
-    return pages.select(row_id, html).mapInPandas(run, f"{row_id} {id_type}, text string")
+    """``row_id, text``: all text of a page outside scripts, styles and comments."""
+    stream = tag_stream(without_noise(F.coalesce(html, F.lit(""))))
+    return pages.select(row_id, stream_text(stream).alias("text"))

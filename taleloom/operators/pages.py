@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.functions import html as H
+from taleloom.functions import tags as T
 from taleloom.functions.codes import split_heading
 from taleloom.functions.text import strip
 from taleloom.functions.vectors import bind
@@ -19,16 +20,32 @@ NO_RECORD = "No record"
 HEADING = r"(?is)<(?:title|h[1-6])\b[^>]*>"
 
 
+def with_stream(pages: DataFrame, *columns: str) -> DataFrame:
+    """Some columns and ``stream``, the tags and texts of the page with their depths."""
+    return pages.select(*columns, T.tag_stream(H.without_noise(F.col("html"))).alias("stream"))
+
+
 def element_texts(pages: DataFrame) -> DataFrame:
-    clean = H.without_noise(F.col("html"))
-    return pages.select(
-        "page_id",
-        H.element(clean, "title").alias("title"),
-        H.element(clean, "h1").alias("heading"),
-        H.tag_free(clean).alias("body"),
+    """``page_id, title, heading, body``: texts of the first ``title`` and ``h1``, and all text."""
+    stream = F.col("stream")
+    placed = with_stream(pages, "page_id").withColumns({"_t": T.find(stream, "title"), "_h": T.find(stream, "h1")})
+    return T.with_text(T.with_text(placed, "_t", "title"), "_h", "heading").select(
+        "page_id", "title", "heading", T.stream_text(stream).alias("body")
     )
 
 
+def marked_elements(pages: DataFrame, name: str, attribute: str, value: str) -> DataFrame:
+    """``page_id, text`` of the first element of that name with ``attribute="value"``, empty when there is none."""
+    at = T.find(F.col("stream"), name, rf'(?i)\b{attribute}="{value}"')
+    return T.with_text(with_stream(pages, "page_id").withColumn("_at", at), "_at", "text").select("page_id", "text")
+
+
+def text_after_heading(pages: DataFrame) -> DataFrame:
+    """``page_id, text``: what follows the first ``h1`` on its level."""
+    placed = with_stream(pages, "page_id").withColumn("_at", T.find(F.col("stream"), "h1"))
+    return T.with_consecutive_text(placed, "_at", "text").select("page_id", "text")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """``page_id, pos, href, anchor`` of every link, in page order."""
     clean = H.without_noise(F.col("html"))
@@ -120,10 +137,6 @@ def links_under_headings(pages: DataFrame) -> DataFrame:
     ).withColumn("item", H.tag_free(F.col("item")))
 
 
-def _after(source: Column, closing: str) -> Column:
-    return F.regexp_extract(source, rf"(?is){closing}(.*)$", 1)
-
-
 def page_stories(pages: DataFrame, single_story_url: str) -> DataFrame:
     """``page_id, url, pos, layout, title, origin, text``: the stories of each page, in one pass.
 
@@ -131,62 +144,56 @@ def page_stories(pages: DataFrame, single_story_url: str) -> DataFrame:
     origin is the element after the first heading. ``plain``: no section headings;
     one story below the centred header, which holds title and origin (its first
     link); without a centred header the first heading is the header. ``sections``:
-    one story per section heading, with the element after it as origin (the
-    ``h3`` in it, if a link or italics hold one); the first section is a table of
-    contents, and boilerplate headings are left out.
+    one story per section heading, with the element after it as origin; the first section
+    is a table of contents, and boilerplate headings are left out. Elements are those
+    on the level of the heading, and the text is what follows the origin there.
     """
-    src = F.col("src")
+    s = F.col("stream")
+    heads = F.col("_heads")
     layout = (
-        F.when(F.col("url").rlike(single_story_url), "single")
-        .when(~src.rlike(r"(?i)<h2\b"), "plain")
-        .otherwise("sections")
-    )
-    shaped = pages.select("page_id", "url", H.without_noise(F.col("html")).alias("src")).withColumn("layout", layout)
-
-    def story(pos: Column, title: Column, origin: Column, text: Column) -> Column:
-        return F.struct(pos.alias("pos"), title.alias("title"), origin.alias("origin"), text.alias("text"))
-
-    def below(pos: Column, title: Column, source: Column) -> Column:
-        """A story whose origin is the first element of a piece of source."""
-        return bind(
-            F.regexp_extract(source, FIRST_ELEMENT, 0),
-            lambda first: story(
-                pos, title, _origin(first), H.consecutive_text(F.substring(source, F.length(first) + 1, F.length(source)))
-            ),
-        )
-
-    none = F.lit(0)
-    single = F.array(below(none, H.element(src, "h1"), _after(src, "</h1>")))
-    centred = src.rlike(r"(?is)<center\b.*?</center>")
-    header = F.when(centred, F.regexp_extract(src, r"(?is)<center\b[^>]*>(.*?)</center>", 1)).otherwise(
-        F.regexp_extract(src, r"(?is)(<h1\b.*?</h1>)", 1)
-    )
-    rest = F.when(centred, _after(src, "</center>")).otherwise(_after(src, "</h1>"))
-    plain = F.array(story(none, H.element(header, "h1"), H.element(header, "a"), H.consecutive_text(rest)))
-    parts = F.split(src, r"(?i)<h2\b[^>]*>")
-    sections = F.transform(
-        parts,
-        lambda part, i: below(
-            i, H.tag_free(F.regexp_extract(part, "(?is)^(.*?)</h2>", 1)), F.regexp_extract(part, "(?is)</h2>(.*)$", 1)
-        ),
-    )
-    wanted = F.filter(sections, lambda s: (s.pos > 1) & ~_starts_with_any(s.title, SKIPPED_HEADINGS))
-    stories = F.when(F.col("layout") == "single", single).when(F.col("layout") == "plain", plain).otherwise(wanted)
-    return shaped.select("page_id", "url", "layout", F.inline(stories)).select(
-        "page_id", "url", "pos", "layout", "title", "origin", "text"
+        F.when(F.col("url").rlike(single_story_url), "single").when(F.size(heads) == 0, "plain").otherwise("sections")
     )
+    shaped = with_stream(pages, "page_id", "url").withColumn("_heads", T.find_all(s, "h2")).withColumn("layout", layout)
 
+    def anchor(pos: Column, at: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), at.cast("int").alias("_anchor"))
 
-_ELEMENTS = "p h1 h2 h3 h4 h5 h6 a i b em strong u div span font blockquote center table ul ol pre article".split()
-FIRST_ELEMENT = (
-    r"(?is)^[^<]*(?:<(?:br|hr|img)\b[^>]*>|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in _ELEMENTS) + ")"
-)
+    def is_story(at: Column, i: Column) -> Column:
+        return (i > 0) & ~_starts_with_any(T.text_of(s, at), SKIPPED_HEADINGS)
 
-
-def _origin(first: Column) -> Column:
-    element = F.regexp_replace(first, "^[^<]*", "")
-    inner = element.rlike(r"(?is)^<[ai]\b.*<h3\b")
-    return F.when(inner, H.element(element, "h3")).otherwise(H.tag_free(element))
+    first, centre = T.find(s, "h1"), T.find(s, "center")
+    sections = F.filter(F.transform(heads, lambda at, i: F.when(is_story(at, i), anchor(i + 1, at))), lambda x: x.isNotNull())
+    anchors = (
+        F.when(F.col("layout") == "single", F.array(anchor(F.lit(0), first)))
+        .when(F.col("layout") == "plain", F.array(anchor(F.lit(0), F.when(centre > 0, centre).otherwise(first))))
+        .otherwise(sections)
+    )
+    # An outer explode, so that no condition on the anchors is worked out below it once more.
+    rows = shaped.select("page_id", "url", "layout", "stream", F.inline_outer(anchors)).filter(F.col("pos").isNotNull())
+
+    # The heading of a plain page is in its header, as is the link that names its origin.
+    plain = F.col("layout") == "plain"
+    in_centre = plain & (F.get(s, F.col("_anchor") - 1)["name"] == "center")
+    rows = T.with_found(T.with_found(rows, "_anchor", "h1", "_h1"), "_anchor", "a", "_link")
+    rows = rows.withColumn("_heading", F.when(in_centre, F.col("_h1")).otherwise(F.col("_anchor")))
+    titled = T.with_text(rows, "_heading", "title")
+
+    # Else the origin is the next element; an ``h3`` in a link or italics speaks for them.
+    nexts = T.with_next(titled, "_anchor", "_next").withColumn("_name", F.get(s, F.col("_next") - 1)["name"])
+    nexts = T.with_found(nexts, "_next", "h3", "_h3")
+    named = nexts.withColumn("_inner", F.when(F.col("_name").isin("a", "i"), F.col("_h3")).otherwise(0))
+    origin = F.when(plain, F.col("_link")).when(F.col("_inner") > 0, F.col("_inner")).otherwise(F.col("_next"))
+    told = T.with_text(named.withColumn("_origin", origin), "_origin", "origin")
+
+    # An unclosed link holds the story, a closed one stands before it.
+    within = F.when((F.col("_name") == "a") & ~plain, F.col("_inner")).otherwise(0)
+    after = F.when(plain, F.col("_anchor")).otherwise(F.col("_next"))
+    told = T.with_consecutive_text(told.withColumn("_within", within), "_within", "_inner_text")
+    told = told.withColumn("_after", F.when(F.col("_inner_text") == "", after).otherwise(0))
+    told = T.with_consecutive_text(told, "_after", "_outer_text")
+    text = F.concat("_inner_text", "_outer_text").alias("text")
+    # Conditions on the result stay above the last explode; below it they would repeat the steps that lead to it.
+    return told.select(F.inline_outer(F.array(F.struct("page_id", "url", "pos", "layout", "title", "origin", text))))
 
 
 def region_links(pages: DataFrame) -> DataFrame:

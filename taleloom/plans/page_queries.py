@@ -7,37 +7,99 @@ from pyspark.sql import functions as F
 from taleloom import tables
 from taleloom.functions import codes
 from taleloom.functions import html as H
+from taleloom.functions import tags as T
 from taleloom.functions import text as tx
+from taleloom.functions.references import decoded_sql
 from taleloom.operators import pages as pg
 from taleloom.plans.registry import ctes, query
 
 
 def tag_free_sql(expr: str) -> str:
     """The SQL twin of ``html.tag_free``."""
-    out = f"regexp_replace({expr}, '{H.TAG}', '', 'g')"
-    for entity, char in H.ENTITIES:
-        quoted = char.replace("'", "''")
-        out = f"replace({out}, '{entity}', '{quoted}')"
-    return out
+    return f"(CASE WHEN {expr} IS NOT NULL THEN {decoded_sql(f'regexp_replace({expr}, {quoted(H.TAG)}, {quoted("")}, {quoted("g")})')} END)"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
 def element_sql(name: str, expr: str = "src") -> str:
     return tag_free_sql(rf"regexp_extract({expr}, '(?is)<{name}\b[^>]*>(.*?)</{name}>', 1)")
 
 
-def blocks_sql(expr: str) -> str:
-    kept = f"list_filter(regexp_extract_all({expr}, '{H.BLOCK}'), lambda b: regexp_matches(b, '{H.KEPT_BLOCK}'))"
-    return (
-        f"list_filter(list_transform({kept}, lambda b: {tag_free_sql('b')}), "
-        r"lambda t: trim(t, E' \t\n\r\f') <> '')"
-    )
+def choice_sql(values: dict[str, str], other: str = "NULL") -> str:
+    return "CASE name " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in values.items()) + f" ELSE {other} END"
 
 
-def runs_sql(expr: str) -> str:
-    return (
-        f"list_filter(list_transform(string_split_regex({expr}, '{H.SECTION_END}'), lambda p: {blocks_sql('p')}), "
-        "lambda r: len(r) > 0)"
-    )
+def names_sql(names: list[str]) -> str:
+    return "(" + ", ".join(map(quoted, names)) + ")"
+
+
+# The tag stream row by row: the stack is carried from token to token by recursion.
+STREAM = rf"""toks AS (SELECT page_id, generate_subscripts(t, 1) AS pos, unnest(t) AS raw
+  FROM (SELECT page_id, regexp_extract_all(src, {quoted(T.TOKEN)}) AS t FROM src)),
+named AS (SELECT *, lower(regexp_extract(raw, {quoted(T.NAME)}, 1)) AS name FROM toks),
+kinds AS (SELECT *, CASE WHEN name = '' THEN 0 WHEN starts_with(raw, '</') THEN 2
+    WHEN name IN {names_sql(T.EMPTIES)} OR raw[2] IN ('!', '?') THEN 3 ELSE 1 END AS kind,
+  CASE WHEN name IN {names_sql(T.WALLS)} THEN upper(name) WHEN name IN {names_sql(T.LISTS)} THEN name || '!' ELSE name END AS put
+  FROM named),
+cuts AS (SELECT *, CASE WHEN kind = 2 THEN {choice_sql(T.CLOSING, "put || '>(?:[^A-Z>]+>)*'")}
+    WHEN kind IN (1, 3) THEN {choice_sql(T.CLOSED_BY)} END AS first,
+  kind IN (1, 3) AND name IN {names_sql(T.BLOCKS)} AS block FROM kinds),
+walk(page_id, pos, stack, depth) AS (SELECT page_id, CAST(0 AS BIGINT), '', CAST(0 AS BIGINT) FROM src
+  UNION ALL SELECT page_id, pos, CASE WHEN kind = 1 THEN two || put || '>' ELSE two END,
+    length(two) - length(replace(two, '>', ''))
+  FROM (SELECT *, CASE WHEN block THEN regexp_replace(one, '^(.*>|)(?:{T.OPEN_P})$', '\1') ELSE one END AS two
+    FROM (SELECT c.*, CASE WHEN first IS NOT NULL THEN regexp_replace(stack, '^(.*>|)(?:' || first || ')$', '\1') ELSE stack END AS one
+      FROM walk w JOIN cuts c ON c.page_id = w.page_id AND c.pos = w.pos + 1))),
+stream AS (SELECT c.page_id, c.pos, kind, name, CASE WHEN kind = 0 THEN raw ELSE '' END AS text, raw AS tag, depth
+  FROM cuts c JOIN walk USING (page_id, pos))"""
+
+
+def texts_sql(source: str) -> str:
+    """``page_id, spot, text`` of the elements in ``source(page_id, spot)``: all text inside."""
+    return f"""(SELECT page_id, spot, {decoded_sql("string_agg(text, '' ORDER BY pos)")} AS text FROM (
+  SELECT e.page_id, e.spot, s.pos, s.text FROM (SELECT x.page_id, x.spot, h.depth AS d,
+      coalesce((SELECT min(pos) FROM stream s WHERE s.page_id = x.page_id AND s.pos > x.spot AND s.depth <= h.depth), 1e9) AS stop
+    FROM {source} x JOIN stream h ON h.page_id = x.page_id AND h.pos = x.spot) e
+  JOIN stream s ON s.page_id = e.page_id AND s.pos >= e.spot AND s.pos < e.stop) GROUP BY page_id, spot)"""
+
+
+def level_sql(source: str) -> str:
+    """Tokens after the elements in ``source(page_id, spot)`` on their level: ``page_id, spot, d`` and the token."""
+    return f"""(SELECT e.spot, e.d, s.* FROM (SELECT x.page_id, x.spot, h.depth AS d,
+      (SELECT min(pos) FROM stream s WHERE s.page_id = x.page_id AND s.pos > x.spot AND s.depth <= h.depth) AS begun,
+      coalesce((SELECT min(pos) FROM stream s WHERE s.page_id = x.page_id AND s.pos > x.spot AND s.depth < h.depth), 1e9) AS stop
+    FROM {source} x JOIN stream h ON h.page_id = x.page_id AND h.pos = x.spot) e
+  JOIN stream s ON s.page_id = e.page_id AND s.pos >= e.begun AND s.pos < e.stop)"""
+
+
+def consecutive_sql(source: str) -> str:
+    """``page_id, spot, text``: what follows the elements in ``source`` on their level."""
+    return f"""(WITH lev AS {level_sql(source)},
+marked AS (SELECT *, depth = d AND kind <> 2 AND NOT (kind = 0 AND coalesce(lag(kind) OVER w = 0 AND lag(depth) OVER w = d, FALSE))
+  AS starts FROM lev WINDOW w AS (PARTITION BY page_id, spot ORDER BY pos)),
+numbered AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY page_id, spot ORDER BY pos) AS k FROM marked),
+items AS (SELECT page_id, spot, k, arg_min(kind, pos) AS hk, arg_min(name, pos) AS hn, bool_or(name = 'tr' AND kind = 1) AS rows,
+  {decoded_sql("string_agg(text, '' ORDER BY pos)")} AS t FROM numbered WHERE k > 0 GROUP BY ALL),
+judged AS (SELECT *, CASE WHEN hk = 0 THEN length(t) >= 5 ELSE hk = 1 AND (hn IN ('p', 'blockquote') OR (hn = 'center' AND rows)) END
+  AS kept, hk IN (1, 3) AND hn IN ('h2', 'hr') AS ends FROM items),
+firsts AS (SELECT page_id, spot, min(k) AS f FROM judged WHERE kept GROUP BY ALL),
+stops AS (SELECT j.page_id, j.spot, min(k) AS stop FROM judged j JOIN firsts USING (page_id, spot) WHERE ends AND k > f GROUP BY ALL)
+SELECT x.page_id, x.spot, coalesce(string_agg(t, chr(10) ORDER BY k) FILTER (kept AND k < coalesce(stop, 1e9)), '') AS text
+FROM {source} x LEFT JOIN judged USING (page_id, spot) LEFT JOIN stops USING (page_id, spot) GROUP BY ALL)"""
+
+
+def next_sql(source: str) -> str:
+    """``page_id, spot, next``: the next element on the level of each element of ``source``."""
+    return f"(SELECT page_id, spot, min(pos) AS next FROM {level_sql(source)} WHERE depth = d AND kind IN (1, 3) GROUP BY ALL)"
+
+
+FIRST_H1 = "(SELECT page_id, min(pos) AS spot FROM stream WHERE kind = 1 AND name = 'h1' GROUP BY page_id)"
+
+
+def with_recursion(*parts: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
 SRC = f"src AS (SELECT page_id, url, regexp_replace(html, '{H.NOISE}', '', 'g') AS src FROM pages)"
@@ -64,9 +126,11 @@ def visited(spark, sf_dir):
 
 @query(
     "b1_element_text",
-    ctes(SRC)
-    + f"""SELECT page_id, {element_sql('title')} AS title, {element_sql('h1')} AS heading,
-  {tag_free_sql('src')} AS body FROM src""",
+    with_recursion(SRC, STREAM)
+    + f"""SELECT src.page_id, coalesce(t.text, '') AS title, coalesce(h.text, '') AS heading, coalesce(b.text, '') AS body FROM src
+LEFT JOIN {texts_sql("(SELECT page_id, min(pos) AS spot FROM stream WHERE kind = 1 AND name = 'title' GROUP BY page_id)")} t USING (page_id)
+LEFT JOIN {texts_sql(FIRST_H1)} h USING (page_id)
+LEFT JOIN (SELECT page_id, {decoded_sql("string_agg(text, '' ORDER BY pos)")} AS text FROM stream GROUP BY page_id) b USING (page_id)""",
 )
 def b1_element_text(spark, sf_dir):
     return pg.element_texts(pages(spark, sf_dir))
@@ -98,30 +162,18 @@ def d6_first_visits(spark, sf_dir):
     return pg.first_visits(pg.links(pages(spark, sf_dir)), visited(spark, sf_dir))
 
 
-def origin_sql(first: str) -> str:
-    """The SQL twin of the origin rule: the ``h3`` inside a link or italics, else the element's text."""
-    element = f"regexp_replace({first}, '^[^<]*', '')"
-    return (
-        rf"CASE WHEN regexp_matches({element}, '(?is)^<[ai]\b.*<h3\b') THEN {element_sql('h3', element)} "
-        f"ELSE {tag_free_sql(element)} END"
-    )
-
-
-FIRST = f"'{pg.FIRST_ELEMENT}'"
-STORY = rf"""headed AS (SELECT *, regexp_matches(url, '/(en|de)/') AS single,
-  regexp_extract(src, '(?is)</h1>(.*)$', 1) AS body, regexp_matches(src, '(?is)<center\b.*?</center>') AS centred FROM src),
-cut AS (SELECT *, regexp_extract(body, {FIRST}) AS first,
-  CASE WHEN centred THEN regexp_extract(src, '(?is)<center\b[^>]*>(.*?)</center>', 1)
-       ELSE regexp_extract(src, '(?is)(<h1\b.*?</h1>)', 1) END AS header,
-  CASE WHEN centred THEN regexp_extract(src, '(?is)</center>(.*)$', 1) ELSE body END AS below FROM headed),
-stories AS (SELECT page_id, url, 0 AS pos, CASE WHEN single THEN 'single' ELSE 'plain' END AS layout,
-  CASE WHEN single THEN {element_sql('h1')} ELSE {element_sql('h1', 'header')} END AS title,
-  CASE WHEN single THEN {origin_sql('first')} ELSE {element_sql('a', 'header')} END AS origin,
-  coalesce(array_to_string(CASE WHEN single THEN {runs_sql('substr(body, length(first) + 1)')}[1]
-    ELSE {runs_sql('below')}[1] END, chr(10)), '') AS text FROM cut)"""
+# The pages have neither centred headers nor section headings, so a story starts from the first heading.
+STORY = f"""h1 AS {FIRST_H1},
+firsts AS (SELECT page_id, spot AS h, next AS spot FROM {next_sql('h1')} WHERE next IS NOT NULL),
+stories AS (SELECT src.page_id, url, 0 AS pos, CASE WHEN single THEN 'single' ELSE 'plain' END AS layout,
+  coalesce(t.text, '') AS title, CASE WHEN single THEN coalesce(o.text, '') ELSE '' END AS origin,
+  coalesce(CASE WHEN single THEN s.text ELSE p.text END, '') AS text
+  FROM (SELECT *, regexp_matches(url, '/(en|de)/') AS single FROM src) src
+  LEFT JOIN {texts_sql('h1')} t USING (page_id) LEFT JOIN {texts_sql('firsts')} o USING (page_id)
+  LEFT JOIN {consecutive_sql('firsts')} s USING (page_id) LEFT JOIN {consecutive_sql('h1')} p USING (page_id))"""
 
 
-@query("b3_page_stories", ctes(SRC, STORY) + "SELECT * FROM stories")
+@query("b3_page_stories", with_recursion(SRC, STREAM, STORY) + "SELECT * FROM stories")
 def b3_page_stories(spark, sf_dir):
     return pg.page_stories(pages(spark, sf_dir), "/(en|de)/")
 
@@ -155,15 +207,17 @@ def sectioned_pages(spark, sf_dir):
 
 @query(
     "b3_sectioned_stories",
-    ctes(SECTIONED)
-    + rf""", parts AS (SELECT page_id, url, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS pos
-  FROM (SELECT page_id, url, string_split_regex(src, '(?i)<h2\b[^>]*>') AS p FROM made)),
-titled AS (SELECT *, {tag_free_sql("regexp_extract(part, '(?is)^(.*?)</h2>', 1)")} AS title,
-  regexp_extract(part, '(?is)</h2>(.*)$', 1) AS under FROM parts WHERE pos > 1)
-SELECT page_id, url, CAST(pos AS INTEGER) AS pos, 'sections' AS layout, title,
-  {tag_free_sql("regexp_extract(under, '(?is)<i>(.*?)</i>', 1)")} AS origin,
-  coalesce(array_to_string({runs_sql("regexp_replace(under, '(?is)^<i>.*?</i>', '')")}[1], chr(10)), '') AS text
-FROM titled WHERE NOT starts_with(title, 'Links to ')""".lstrip(),
+    with_recursion(SECTIONED, SRC.replace("FROM pages", "FROM (SELECT page_id, url, src AS html FROM made)"), STREAM)
+    + f""", heads AS (SELECT page_id, pos AS spot, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n
+  FROM stream WHERE kind = 1 AND name = 'h2'),
+origins AS (SELECT page_id, next AS spot, spot AS h FROM {next_sql('heads')})
+SELECT page_id, url, CAST(n AS INTEGER) AS pos, 'sections' AS layout, t.text AS title, coalesce(o.text, '') AS origin,
+  coalesce(c.text, '') AS text
+FROM heads JOIN src USING (page_id) JOIN {texts_sql('heads')} t USING (page_id, spot)
+LEFT JOIN origins x ON x.page_id = heads.page_id AND x.h = heads.spot
+LEFT JOIN {texts_sql('origins')} o ON o.page_id = x.page_id AND o.spot = x.spot
+LEFT JOIN {consecutive_sql('origins')} c ON c.page_id = x.page_id AND c.spot = x.spot
+WHERE n > 1 AND NOT starts_with(t.text, 'Links to ')""".lstrip(),
 )
 def b3_sectioned_stories(spark, sf_dir):
     return pg.page_stories(sectioned_pages(spark, sf_dir), "grimm")
@@ -171,16 +225,11 @@ def b3_sectioned_stories(spark, sf_dir):
 
 @query(
     "b4_consecutive_text",
-    ctes(SRC)
-    + f"""SELECT page_id, coalesce(array_to_string({runs_sql("regexp_extract(src, '(?is)</h1>(.*)$', 1)")}[1], chr(10)), '')
-  AS text FROM src""",
+    with_recursion(SRC, STREAM)
+    + f"""SELECT page_id, coalesce(text, '') AS text FROM src LEFT JOIN {consecutive_sql(FIRST_H1)} USING (page_id)""",
 )
 def b4_consecutive_text(spark, sf_dir):
-    clean = H.without_noise(F.col("html"))
-    after = F.regexp_extract("src", "(?is)</h1>(.*)$", 1)
-    return pages(spark, sf_dir).select("page_id", clean.alias("src")).select(
-        "page_id", H.consecutive_text(after).alias("text")
-    )
+    return pg.text_after_heading(pages(spark, sf_dir))
 
 
 @query(
@@ -279,13 +328,12 @@ def b8_region_links(spark, sf_dir):
 
 @query(
     "b1_marked_element",
-    ctes(SRC)
-    + f"""SELECT page_id, {tag_free_sql(f"regexp_extract(src, '{H.marked_pattern('div', 'class', 'ad')}', 1)")} AS ad
-FROM src""",
+    with_recursion(SRC, STREAM)
+    + f"""SELECT page_id, coalesce(text, '') AS ad FROM src LEFT JOIN {texts_sql("""(SELECT page_id, min(pos) AS spot FROM stream
+  WHERE kind = 1 AND name = 'div' AND regexp_matches(tag, '(?i)\\bclass="ad"') GROUP BY page_id)""")} USING (page_id)""",
 )
 def b1_marked_element(spark, sf_dir):
-    clean = H.without_noise(F.col("html"))
-    return pages(spark, sf_dir).select("page_id", H.marked_element(clean, "div", "class", "ad").alias("ad"))
+    return pg.marked_elements(pages(spark, sf_dir), "div", "class", "ad").withColumnRenamed("text", "ad")
 
 
 def index_pages(spark, sf_dir):
@@ -303,7 +351,7 @@ def index_pages(spark, sf_dir):
 
 @query(
     "a7_corpus_flow",
-    ctes(SRC, STORY)
+    with_recursion(SRC, STREAM, STORY)
     + rf"""SELECT CAST(page_id AS VARCHAR) AS atu, trim('Type ' || heading, E' \t\n\r\f') AS "desc",
   trim(title, E' \t\n\r\f') AS title, trim(origin, E' \t\n\r\f') AS origin, trim(text, E' \t\n\r\f') AS text,
   trim(url, E' \t\n\r\f') AS url

@@ -1,7 +1,12 @@
+import html
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from taleloom.functions import html as H
+from taleloom.functions import tags as T
+from taleloom.functions.references import decoded, decoded_sql
 from taleloom.operators import pages as pg
 
 SECTIONS = """<html><h1>Tales</h1><h2>Contents</h2><ul><li>x</li></ul>
@@ -41,22 +46,24 @@ def test_origin_is_the_next_element_and_header_links_count(spark):
     got = {r.page_id: (r.title, r.origin, r.text) for r in pg.page_stories(df, "grimm").collect()}
     assert got[1] == ("The Frog King", "Jacob and Wilhelm Grimm", "Once upon a time.\nThen more.")
     assert got[2] == ("Type 9", "Norway", "A text.")
-    assert pg.page_stories(df, "grimm")._jdf.queryExecution().executedPlan().toString().count("Generate") == 1
+    plan = pg.page_stories(df, "grimm").filter("text <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("regexp_extract_all(regexp_replace(html") == 1
 
 
 def test_region_links_come_from_the_first_list(spark):
-    html = "<h3>North</h3><ul><li><a href=\"/a\">A <b>b</b></a></li></ul><ul><li><a href=\"/x\">x</a></li></ul><h3>South</h3>"
-    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    page = "<h3>North</h3><ul><li><a href=\"/a\">A <b>b</b></a></li></ul><ul><li><a href=\"/x\">x</a></li></ul><h3>South</h3>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
     assert [tuple(r)[2:] for r in pg.region_links(df).collect()] == [("North", 0, "/a", "A b")]
 
 
 def test_marked_elements(spark):
-    html = '<h1 class="other">no</h1><h1 class="song-title" id="t">The <i>Gypsy</i></h1>'
-    df = spark.createDataFrame([(html,)], "html string")
-    row = df.select(
-        H.marked_element(F.col("html"), "h1", "class", "song-title"), H.marked_element(F.col("html"), "div", "id", "t")
-    ).first()
-    assert tuple(row) == ("The Gypsy", "")
+    page = '<h1 class="other">no</h1><h1 class="song-title" id="t">The <i>Gypsy</i></h1><div id="d">a<div>b</div>c</div>d'
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+
+    def text(*marks):
+        return pg.marked_elements(df, *marks).first().text
+
+    assert text("h1", "class", "song-title") == "The Gypsy" and text("div", "id", "d") == "abc" and text("div", "id", "t") == ""
 
 
 def test_song_items(spark):
@@ -74,16 +81,67 @@ def test_lyrics_need_the_exact_title(spark):
 
 
 def test_headings_label_the_items_below(spark):
-    html = "<h3>North</h3><ul><li>a</li><li>b</li></ul><h3>South</h3><ul><li>c</li></ul>"
-    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    page = "<h3>North</h3><ul><li>a</li><li>b</li></ul><h3>South</h3><ul><li>c</li></ul>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
     got = [(r.heading, r.item) for r in pg.links_under_headings(df).collect()]
     assert got == [("North", "a"), ("North", "b"), ("South", "c")]
 
 
 def test_parser_reads_broken_pages(spark):
-    html = "<p>One <b>two<script>var t='</p>';</script><p>&eacute;nd &#39;x&#39;"
-    df = spark.createDataFrame([(1, html)], "page_id long, html string")
-    assert H.parsed_text(df, "page_id", "html").first().text == "One twoénd 'x'"
+    page = "<p>One <b>two<script>var t='</p>';</script><p>&eacute;nd &#39;x&#39;"
+    df = spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")
+    assert sorted(r.text for r in H.parsed_text(df, "page_id", "html").collect()) == ["", "One twoénd 'x'"]
+
+
+def level_text(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    return [r.text for r in pg.text_after_heading(df).orderBy("page_id").collect()]
+
+
+def test_only_the_level_of_the_anchor_counts(spark):
+    mixed = (
+        "<div><h1>T</h1><p>Once upon.</p><ul><li>See also other tales</li></ul><b>bold words here</b>"
+        "<div><p>inner para</p></div><p>The end.</p></div><p>outside</p>"
+    )
+    open_p = "<article><h1>T</h1><p><b>One<br><p>two</p>bare &amp; text<p>three</article><p>four"
+    stops = "<h1>T</h1><hr><h2>x</h2><p>a</p>1234<blockquote>q <p>r</p></blockquote><h2>y</h2><p>b</p>"
+    tables = "<h1>T</h1><center>no rows</center><center><table><tr><td>cell <td>two</table></center>"
+    centred = "<center><h1>T</h1><p>in the header</p></center><p>text</p>"
+    nothing = "<p>no heading</p>"
+    assert level_text(spark, mixed, open_p, stops, tables, centred, nothing, "") == [
+        "Once upon.\nThe end.", "One\ntwo\nbare & text\nthree", "a\nq r", "cell two", "text", "", "",
+    ]
+
+
+def test_depths_follow_the_standard(spark):
+    def depths(source):
+        df = spark.createDataFrame([(source,)], "html string")
+        return [(t.name or t.text, t.depth) for t in df.select(T.tag_stream(F.col("html")).alias("s")).first().s if t.kind != T.CLOSE]
+
+    assert depths("<div><div>a</div>b</div>c") == [("div", 0), ("div", 1), ("a", 2), ("b", 1), ("c", 0)]
+    assert depths("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e") == [
+        ("ul", 0), ("li", 1), ("a", 2), ("li", 1), ("b", 2), ("ul", 2), ("li", 3), ("c", 4), ("li", 1), ("d", 2), ("e", 0),
+    ]
+    assert depths("<table><tr><td><p>x<td>y<tr><th>z</table>w")[-1] == ("w", 0)
+    assert depths("<td><p>x</div></table>y")[-1] == ("y", 2)
+    assert depths("</p>a < b<br>c<img>d") == [("a ", 0), ("<", 0), (" b", 0), ("br", 0), ("c", 0), ("img", 0), ("d", 0)]
+    many = depths("<p>x<b>y" * 1500)
+    assert len(many) == 6000 and many[-1] == ("y", 2)
+
+
+REFERENCES = [
+    "&eacute;x &#8217;&mdash;&#x27;a&amp;lt; & &b &nosuch; &copy 20 &#150; &#0; &#xD800; &#x1F600; &#99999999999999;", "plain", "a&",
+    "&#39;x&#39; &apos; &nbsp;&euro;&#xFFFFFFFFFFFFFF;", "", "&;&#;&#x;&amp&amp;",
+]
+
+
+def test_references_as_the_standard_library_reads_them(spark):
+    df = spark.createDataFrame(list(enumerate(REFERENCES)), "i long, t string")
+    got = [r[0] for r in df.orderBy("i").select(decoded(F.col("t"))).collect()]
+    assert got == [html.unescape(t) for t in REFERENCES]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE r AS SELECT unnest($1) AS t", [REFERENCES])
+    assert [r[0] for r in con.execute(f"SELECT {decoded_sql('t')} FROM r").fetchall()] == got
 
 
 def test_scripts_and_comments_are_dropped(spark):
