@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taleloom.operators import models
+from taleloom.operators.topics import topics
 from taleloom.plans import QUERIES
 
 
@@ -28,5 +29,5 @@ def test_topics_take_every_word(spark):
     n = 270_000  # more than 2 ** 18, each in one text
     words = F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda i: F.concat(F.lit("w"), i.cast("string")))
     df = spark.range(n // 1000).select(words.alias("words"))
-    topics = models.topics(df, F.col("words"), k=2, top=n, rounds=1)
-    assert topics.filter("topic = 0").select("word").distinct().count() == n
+    found = topics(df, F.col("words"), k=2, top=n, rounds=1)
+    assert found.filter("topic = 0").select("word").distinct().count() == n
