@@ -61,12 +61,25 @@ def predictions(df: DataFrame, row_id: str, vector: str, label: str, digits: int
     )
 
 
-def accuracy(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    return df.agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
+def accuracy(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, accuracy``: the share of rows predicted right."""
+    return df.groupBy(*keys).agg(F.avg((F.col(truth) == F.col(pred)).cast("double")).alias("accuracy"))
 
 
-def confusion_counts(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    return df.groupBy(truth, pred).agg(F.count(F.lit(1)).alias("n"))
+def with_totals(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row once per prefix of ``keys``; null stands for all values of a key that is left out."""
+    if not keys:
+        return df
+    sets = [
+        F.struct(*(F.col(k) if i < n else F.lit(None).cast(df.schema[k].dataType).alias(k) for i, k in enumerate(keys)))
+        for n in range(len(keys), -1, -1)
+    ]
+    rest = [c for c in df.columns if c not in keys]
+    return df.select(F.explode(F.array(*sets)).alias("_keys"), *rest).select("_keys.*", *rest)
+
+
+def confusion_counts(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys, truth, pred).agg(F.count(F.lit(1)).alias("n"))
 
 
 def confusion_matrix(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -84,11 +97,16 @@ def confusion_wide(matrix: DataFrame, truth: str, pred: str, classes: Sequence |
     return wide.agg(F.first("n")).fillna(0)
 
 
-def per_class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """``class, precision, recall, f1, support`` over classes seen in truth or prediction."""
-    counts = confusion_counts(df, truth, pred)
+def per_class_scores(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, class, precision, recall, f1, support`` over classes seen in truth or prediction."""
+    return class_scores(confusion_counts(df, truth, pred, keys), truth, pred, keys)
+
+
+def class_scores(counts: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The same from ``keys, truth, pred, n``."""
     hit = F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0)
     sides = counts.select(
+        *keys,
         F.explode(
             F.array(
                 F.struct(
@@ -105,8 +123,8 @@ def per_class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
                 ),
             )
         ).alias("s")
-    ).select("s.*")
-    sums = sides.groupBy("class").agg(
+    ).select(*keys, "s.*")
+    sums = sides.groupBy(*keys, "class").agg(
         F.sum("hit").alias("hit"), F.sum("in_truth").alias("in_truth"), F.sum("in_pred").alias("in_pred")
     )
 
@@ -114,6 +132,7 @@ def per_class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
         return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
     return sums.select(
+        *keys,
         "class",
         ratio(F.col("hit"), F.col("in_pred")).alias("precision"),
         ratio(F.col("hit"), F.col("in_truth")).alias("recall"),
@@ -122,9 +141,9 @@ def per_class_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
     )
 
 
-def macro_scores(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """One row: unweighted means of the per-class precision, recall and F1."""
-    return per_class_scores(df, truth, pred).agg(
+def macro_scores(df: DataFrame, truth: str, pred: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and unweighted means of the per-class precision, recall and F1."""
+    return per_class_scores(df, truth, pred, keys).groupBy(*keys).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1")
     )
 
@@ -163,8 +182,8 @@ def rank_auc(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sums.select(*keys, (F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"), "n_pos", "n_neg")
 
 
-def pair_aucs(df: DataFrame, target: str, probs: str) -> DataFrame:
-    """``low, high, auc, n``: mean of the two one-against-one AUCs of each class pair.
+def pair_aucs(df: DataFrame, target: str, probs: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, low, high, auc, n``: mean of the two one-against-one AUCs of each class pair.
 
     ``target`` is the 0-based place of the true class in ``probs``.
     """
@@ -189,19 +208,20 @@ def pair_aucs(df: DataFrame, target: str, probs: str) -> DataFrame:
             ),
         )
     )
-    scored = df.select(F.explode(both).alias("s")).select("s.*")
-    ordered = rank_auc(scored, ["pos_class", "neg_class"])
+    scored = df.select(*keys, F.explode(both).alias("s")).select(*keys, "s.*")
+    ordered = rank_auc(scored, [*keys, "pos_class", "neg_class"])
     return (
         ordered.groupBy(
+            *keys,
             F.least("pos_class", "neg_class").alias("low"), F.greatest("pos_class", "neg_class").alias("high")
         )
         .agg(F.avg("auc").alias("auc"), F.max(F.col("n_pos") + F.col("n_neg")).alias("n"))
     )
 
 
-def one_vs_one_auc(df: DataFrame, target: str, probs: str) -> DataFrame:
-    """One row: mean over class pairs, plain and weighted by the pairs' rows."""
-    return pair_aucs(df, target, probs).agg(
+def one_vs_one_auc(df: DataFrame, target: str, probs: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` and the mean over class pairs, plain and weighted by the pairs' rows."""
+    return pair_aucs(df, target, probs, keys).groupBy(*keys).agg(
         F.avg("auc").alias("macro_auc"), (F.sum(F.col("auc") * F.col("n")) / F.sum("n")).alias("weight_auc")
     )
 
@@ -214,15 +234,24 @@ def one_vs_rest_auc(df: DataFrame, target: str, probs: str) -> DataFrame:
     return rank_auc(scored, ["class"]).select("class", "auc")
 
 
-def metric_bundle(df: DataFrame, truth: str, pred: str, target: str, probs: str) -> DataFrame:
-    """One row with accuracy, macro F1, precision, recall and both pair AUCs."""
-    macro = macro_scores(df, truth, pred)
-    auc = one_vs_one_auc(df, target, probs)
+def metric_bundle(df: DataFrame, truth: str, pred: str, target: str, probs: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys`` with accuracy, macro F1, precision, recall and both pair AUCs: a row per value of the keys.
+
+    With keys, as run and phase, there are also rows for each prefix of them, where null stands
+    for all values. Predictions are computed once and stored. Accuracy and macro scores come
+    from one table of counts, to which the totals are added; AUCs from one pass over the stored rows.
+    """
+    stored = cut_lineage(df.select(*keys, truth, pred, target, probs))
+    counts = with_totals(confusion_counts(stored, truth, pred, keys), keys)
+    counts = counts.groupBy(*keys, truth, pred).agg(F.sum("n").alias("n"))
+    known = F.col(truth).isNotNull() & F.col(pred).isNotNull()
+    right = F.sum(F.when(F.col(truth) == F.col(pred), F.col("n")).otherwise(0))
+    hits = counts.groupBy(*keys).agg((right / F.sum(F.when(known, F.col("n")))).alias("accuracy"))
+    macro = class_scores(counts, truth, pred, keys).groupBy(*keys).agg(*(F.avg(c).alias(c) for c in ("f1", "precision", "recall")))
+    auc = one_vs_one_auc(with_totals(stored.select(*keys, target, probs), keys), target, probs, keys)
     names = ["accuracy", "f1", "precision", "recall", "macro_auc", "weight_auc"]
-    rows = None
-    for part in (accuracy(df, truth, pred), macro, auc):
-        rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    return rows.agg(*[F.max(name).alias(name) for name in names])
+    rows = hits.unionByName(macro, allowMissingColumns=True).unionByName(auc, allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(*[F.max(name).alias(name) for name in names])
 
 
 def epoch_means(log: DataFrame) -> DataFrame:

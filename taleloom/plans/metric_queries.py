@@ -276,17 +276,40 @@ def i6_one_vs_rest_auc(spark, sf_dir):
     return auc.agg(F.round(F.avg("auc"), 6).alias("macro_auc"), F.count(F.lit(1)).alias("classes"))
 
 
+# Predictions by phase: a tenth of the rows is tested. Null stands for both phases.
+PHASED = """phased AS (SELECT *, CASE WHEN substr(md5('42:' || vec_id), 1, 8) < '19999999' THEN 'test' ELSE 'train' END AS split FROM preds),
+each AS (SELECT split AS phase, vec_id, label, pred, probs FROM phased UNION ALL SELECT NULL, vec_id, label, pred, probs FROM phased),
+seen AS (SELECT phase, label AS c FROM each UNION SELECT phase, pred FROM each),
+counts AS (SELECT s.phase, s.c, count(*) FILTER (WHERE label = c AND pred = c) AS hit,
+  count(*) FILTER (WHERE label = c) AS in_truth, count(*) FILTER (WHERE pred = c) AS in_pred
+  FROM seen s JOIN each e ON e.phase IS NOT DISTINCT FROM s.phase GROUP BY s.phase, s.c),
+macro AS (SELECT phase, avg(CASE WHEN in_pred > 0 THEN hit / in_pred ELSE 0 END) AS precision,
+  avg(CASE WHEN in_truth > 0 THEN hit / in_truth ELSE 0 END) AS recall,
+  avg(CASE WHEN in_pred + in_truth > 0 THEN 2 * hit / (in_pred + in_truth) ELSE 0 END) AS f1 FROM counts GROUP BY phase),
+score_rows AS (SELECT phase, label, generate_subscripts(probs, 1) - 1 AS c, unnest(probs) AS s FROM each),
+ordered AS (SELECT x.phase, x.label AS a, y.label AS b, avg(CASE WHEN x.s > y.s THEN 1.0 WHEN x.s = y.s THEN 0.5 ELSE 0.0 END) AS auc
+  FROM score_rows x JOIN score_rows y ON x.phase IS NOT DISTINCT FROM y.phase AND x.c = y.c AND x.c = x.label AND y.label <> x.label
+  GROUP BY ALL),
+sizes AS (SELECT phase, label, count(*) AS n FROM each GROUP BY ALL),
+pair_auc AS (SELECT o.phase, least(a, b) AS low, greatest(a, b) AS high, avg(auc) AS auc, any_value(sa.n + sb.n) AS n FROM ordered o
+  JOIN sizes sa ON sa.label = a AND sa.phase IS NOT DISTINCT FROM o.phase
+  JOIN sizes sb ON sb.label = b AND sb.phase IS NOT DISTINCT FROM o.phase GROUP BY ALL),
+aucs AS (SELECT phase, avg(auc) AS macro_auc, sum(auc * n) / sum(n) AS weight_auc FROM pair_auc GROUP BY phase),
+hits AS (SELECT phase, avg(CAST(pred = label AS INTEGER)) AS accuracy FROM each GROUP BY phase)"""
+
+
 @query(
     "i8_metric_bundle",
-    ctes(VECS, MEANS, PREDS, PER_CLASS, AUCS)
-    + """SELECT (SELECT round(avg(CAST(pred = label AS INTEGER)), 6) FROM preds) AS accuracy,
-  (SELECT round(avg(f1), 6) FROM per_class) AS f1, (SELECT round(avg(precision), 6) FROM per_class) AS precision,
-  (SELECT round(avg(recall), 6) FROM per_class) AS recall, (SELECT round(avg(auc), 6) FROM pair_auc) AS macro_auc,
-  (SELECT round(sum(auc * n) / sum(n), 6) FROM pair_auc) AS weight_auc""",
+    ctes(VECS, MEANS, PREDS, PHASED)
+    + """SELECT h.phase, round(accuracy, 6) AS accuracy, round(f1, 6) AS f1, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(macro_auc, 6) AS macro_auc, round(weight_auc, 6) AS weight_auc
+FROM hits h JOIN macro m ON m.phase IS NOT DISTINCT FROM h.phase LEFT JOIN aucs a ON a.phase IS NOT DISTINCT FROM h.phase""",
 )
 def i8_metric_bundle(spark, sf_dir):
-    bundle = met.metric_bundle(predictions(spark, sf_dir), "label", "pred", "target", "probs")
-    return bundle.select(*[F.round(c, 6).alias(c) for c in bundle.columns])
+    """A row per phase and one for both together."""
+    rows = smp.hash_split(predictions(spark, sf_dir), "vec_id", 0.1, 42).withColumnRenamed("split", "phase")
+    bundle = met.metric_bundle(rows, "label", "pred", "target", "probs", ["phase"])
+    return bundle.select("phase", *[F.round(c, 6).alias(c) for c in bundle.columns if c != "phase"])
 
 
 LOG = """log AS (SELECT event_type AS run, CASE WHEN event_id % 5 = 0 THEN 'valid' ELSE 'train' END AS phase,

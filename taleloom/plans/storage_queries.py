@@ -99,11 +99,104 @@ def a10_stored_split(spark, sf_dir):
 
 @query(
     "a9_confusion_wide",
-    ctes(VECS, MEANS, PREDS) + "PIVOT (SELECT label, pred FROM preds) ON pred USING count(*) GROUP BY label",
+    ctes(VECS, MEANS, PREDS)
+    + """SELECT t.label, p.pred, (SELECT count(*) FROM preds x WHERE x.label = t.label AND x.pred = p.pred) AS n
+FROM (SELECT DISTINCT label FROM preds) t, (SELECT DISTINCT pred FROM preds) p""",
 )
 def a9_confusion_wide(spark, sf_dir):
+    """The wide matrix as CSV, read back and unpivoted."""
+    path = fresh_folder(spark)
     counts = met.confusion_counts(predictions(spark, sf_dir), "label", "pred")
-    return met.confusion_wide(counts, "label", "pred")
+    wide = met.confusion_wide(counts, "label", "pred")
+    wide.write.csv(path, header=True)
+    classes = [c for c in wide.columns if c != "label"]
+    schema = ", ".join(["label int", *(f"`{c}` bigint" for c in classes)])
+    stored = spark.read.schema(schema).csv(path, header=True)
+    cells = [F.struct(F.lit(c).cast("int").alias("pred"), F.col(f"`{c}`").alias("n")) for c in classes]
+    return stored.select("label", F.inline(F.array(*cells)))
+
+
+@query(
+    "a1_text_tree",
+    """SELECT source AS folklore, doc_id, length(text) AS n_chars FROM documents
+WHERE doc_id % 2 = 0 OR NOT EXISTS (SELECT 1 FROM documents d WHERE d.source = documents.source AND d.doc_id % 14 = 0)""",
+)
+def a1_text_tree(spark, sf_dir):
+    """Books with a split folder consist of that folder's files; the loose files of the others count."""
+    root = fresh_folder(spark)
+    docs = tables.load(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("n_chars"))
+    lines = docs.select("source", "doc_id", F.to_json(F.struct("doc_id", "n_chars")).alias("value"))
+    has_split = lines.filter(F.col("doc_id") % 14 == 0).select("source").distinct()
+    books = lines.withColumn("book", F.regexp_replace("source", "[^A-Za-z0-9]", "_"))
+    in_split = books.join(has_split, "source", "left_semi").filter(F.col("doc_id") % 2 == 0).withColumn("split tales", F.lit("a"))
+    loose = books.join(has_split, "source", "left_anti").unionByName(
+        books.join(has_split, "source", "left_semi").filter(F.col("doc_id") % 2 != 0)
+    )
+    loose.select("book", "value").write.partitionBy("book").mode("append").text(root)
+    in_split.select("book", "split tales", "value").write.partitionBy("book", "split tales").mode("append").text(root)
+    found = readers.read_text_tree(spark, root).select("folklore", F.explode(F.split(F.trim("content"), "\n")).alias("line"))
+    parsed = found.filter("line <> ''").select(
+        F.regexp_replace("folklore", "^book=", "").alias("folklore"),
+        F.from_json("line", "doc_id bigint, n_chars bigint").alias("d"),
+    )
+    return parsed.select("folklore", "d.*")
+
+
+@query(
+    "a3_song_array",
+    "SELECT CAST(conv_id AS VARCHAR) AS songid, role AS title, text AS lyric FROM conversations WHERE text <> ''",
+)
+def a3_song_array(spark, sf_dir):
+    """Songs in files of one JSON array each; a file holds the turns of fifty conversations."""
+    path = fresh_folder(spark)
+    turns = tables.load(spark, sf_dir, "conversations").withColumn("batch", F.floor(F.col("conv_id") / 50))
+    song = F.struct(F.col("conv_id").cast("string").alias("songid"), F.col("role").alias("title"), F.col("text").alias("lyric"))
+    arrays = turns.groupBy("batch").agg(F.to_json(F.collect_list(song)).alias("value"))
+    arrays.write.partitionBy("batch").text(path)
+    return readers.read_songs(spark, f"{path}/*").filter(F.length("lyric") > 0).select("songid", "title", "lyric")
+
+
+@query(
+    "a11_label_file",
+    "SELECT DISTINCT source AS label_name, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) AS label_id FROM documents",
+)
+def a11_label_file(spark, sf_dir):
+    """A ``name->id`` line per source."""
+    path = fresh_folder(spark)
+    names = tables.load(spark, sf_dir, "documents").select("source").distinct()
+    names.select(F.concat("source", F.lit("->"), F.regexp_extract("source", "([0-9]+)$", 1)).alias("value")).write.text(path)
+    return readers.read_label_dictionary(spark, path)
+
+
+@query(
+    "a13_once_within",
+    """SELECT url, count(*) + count(*) FILTER (WHERE page_id % 2 = 0) AS visits,
+  (SELECT count(*) FROM pages WHERE page_id % 5 = 0) AS late_rows FROM pages GROUP BY url""",
+)
+def a13_once_within(spark, sf_dir):
+    """Three runs: all pages; some again at once and some too late; some again after their time has passed."""
+    source, out, checkpoint = (fresh_folder(spark) for _ in range(3))
+    pages = tables.load(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+    def at(seconds):
+        return start + F.make_dt_interval(secs=seconds + F.col("page_id") % 1000)
+
+    late = pages.filter(F.col("page_id") % 5 == 0).select("page_id", F.concat("url", F.lit("?late")).alias("url"))
+    runs = [
+        pages.withColumn("fetched", at(F.lit(200_000))),
+        pages.filter(F.col("page_id") % 3 == 0).withColumn("fetched", at(F.lit(220_000))).unionByName(
+            late.withColumn("fetched", at(F.lit(0)))
+        ),
+        pages.filter(F.col("page_id") % 2 == 0).withColumn("fetched", at(F.lit(221_000))),
+    ]
+    dropped = 0
+    for rows in runs:
+        rows.select("url", "fetched").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("url string, fetched timestamp_ntz").parquet(source)
+        dropped += ingest.ingest_within(stream, "fetched", "5000 seconds", out, checkpoint)
+    stored = spark.read.schema("url string, fetched timestamp").parquet(out)
+    return stored.groupBy("url").agg(F.count(F.lit(1)).alias("visits")).withColumn("late_rows", F.lit(dropped).cast("bigint"))
 
 
 @query("a13_stream_once", "SELECT DISTINCT url FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,37 +51,52 @@ def read_label_dictionary(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _decoded(path: Column) -> Column:
-    """A file address with its percent codes resolved."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+def _relative(path: Column, root: str) -> Column:
+    """A file address below a folder."""
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    return F.regexp_replace(path, rf"^[a-z0-9]*:?/*\Q{base}\E/", "")
 
 
-def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
-    """``folklore, text, path, content``: one row per text file below the book folders.
+def text_tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """``folklore, text, path, file``: the text files of each book, chosen by their addresses alone.
 
     A book with a ``split ...`` folder consists of that folder's files alone.
     Files of other sub-folders do not belong to a book.
     """
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
-    address = _decoded(F.col("_metadata.file_path"))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    relative = F.regexp_replace(address, rf"^[a-z0-9]*:?/*\Q{base}\E/", "")
-    rows = files.select(F.col("value").alias("content"), relative.alias("path")).withColumn(
-        "parts", F.split("path", "/")
-    )
-    depth = F.size("parts")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("file"))
+    rows = files.withColumn("path", _relative(F.col("file"), root)).withColumn("parts", F.split("path", "/"))
     folder = F.get("parts", F.lit(1))
-    is_split = (depth == 3) & F.lower(folder).startswith(SPLIT_FOLDER)
-    placed = rows.filter((depth == 2) | is_split).select(
+    is_split = (F.size("parts") == 3) & F.lower(folder).startswith(SPLIT_FOLDER)
+    placed = rows.filter((F.size("parts") == 2) | is_split).select(
         F.get("parts", F.lit(0)).alias("folklore"),
         F.element_at("parts", -1).alias("text"),
         "path",
-        "content",
+        "file",
         F.when(is_split, folder).alias("split_folder"),
     ).filter(F.col("folklore") != HIDDEN_FOLDER)
     chosen = placed.groupBy("folklore").agg(F.max("split_folder").alias("chosen_folder"))
     return (
         placed.join(chosen, "folklore")
         .filter(F.col("chosen_folder").isNull() | (F.col("split_folder") == F.col("chosen_folder")))
-        .select("folklore", "text", "path", "content")
+        .select("folklore", "text", "path", "file")
+    )
+
+
+def read_text_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``folklore, text, path, content``: one row per text file below the book folders.
+
+    Only the chosen files are opened, and their contents are not shuffled. The driver holds the chosen
+    addresses, as it does those of any folder that Spark reads.
+    """
+    names = [r["file"] for r in text_tree_files(spark, root).select("file").collect()]
+    if not names:
+        return spark.createDataFrame([], "folklore string, text string, path string, content string")
+    exact = [re.sub(r"([\\*?\[\]{}])", r"\\\1", name) for name in names]  # an address may look like a pattern
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = _relative(address, root)
+    return spark.read.text(exact, wholetext=True).select(
+        F.element_at(F.split(path, "/"), 1).alias("folklore"),
+        F.element_at(F.split(path, "/"), -1).alias("text"),
+        path.alias("path"),
+        F.col("value").alias("content"),
     )

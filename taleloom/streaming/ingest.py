@@ -35,6 +35,25 @@ def once_per_url_within(pages: DataFrame, fetched: str, delay: str) -> DataFrame
     return timed.withWatermark(fetched, delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def ingest_within(pages: DataFrame, fetched: str, delay: str, out: str, checkpoint: str) -> int:
+    """Store the pages that are new within a time span; gives the number of rows that came too late to tell.
+
+    Takes up what has arrived and stops. The watermark lets addresses go that were seen longer ago than ``delay``
+    before the latest page, so the state is bounded by the pages of that span; rows older than the watermark are
+    dropped and counted.
+    """
+    job = (
+        once_per_url_within(pages, fetched, delay)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    job.awaitTermination()
+    return sum(s["numRowsDroppedByWatermark"] for p in job.recentProgress for s in p["stateOperators"])
+
+
 def ingest_stories(
     pages: DataFrame, out: str, checkpoint: str, single_story_url: str = SINGLE_STORY_URL
 ) -> StreamingQuery:

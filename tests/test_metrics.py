@@ -135,3 +135,25 @@ def test_auc_tells_tiny_scores_apart(spark):
     df = spark.createDataFrame(rows, "key string, score double, is_pos int")
     got = {r.key: (r.auc, r.n_pos, r.n_neg) for r in met.rank_auc(df, ["key"]).collect()}
     assert got == {"k": (1.0, 2, 2), "t": (0.5, 5, 5), "r": (0.0, 50, 51)}
+
+
+def test_bundle_by_run_and_phase_with_totals(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(240):
+        probs = [draw.random() for _ in range(3)]
+        rows.append((f"r{i % 2}", "train" if i % 3 else "test", i % 3 if draw.random() < 0.6 else (i + 1) % 3, probs))
+    df = spark.createDataFrame(rows, "run string, phase string, target int, probs array<double>")
+    df = df.withColumn("pred", F.expr("cast(array_position(probs, array_max(probs)) - 1 as int)")).withColumn("truth", F.col("target"))
+    got = {(r.run, r.phase): r for r in met.metric_bundle(df, "truth", "pred", "target", "probs", ["run", "phase"]).collect()}
+    runs, phases = ["r0", "r1"], ["train", "test"]
+    assert set(got) == {(r, p) for r in runs for p in phases} | {(r, None) for r in runs} | {(None, None)}
+    for run, phase in got:
+        part = df.filter((F.lit(run is None) | (F.col("run") == run)) & (F.lit(phase is None) | (F.col("phase") == phase)))
+        one = met.macro_scores(part, "truth", "pred").first().asDict() | met.one_vs_one_auc(part, "target", "probs").first().asDict()
+        one["accuracy"] = met.accuracy(part, "truth", "pred").first().accuracy
+        assert all(abs(one[name] - got[run, phase][name]) < 1e-12 for name in one)
+    plain = met.metric_bundle(df, "truth", "pred", "target", "probs").collect()
+    assert len(plain) == 1 and abs(plain[0].accuracy - got[None, None].accuracy) < 1e-12

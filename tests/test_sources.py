@@ -32,6 +32,21 @@ def test_text_tree(spark, tmp_path):
     }
 
 
+def test_text_tree_opens_only_chosen_files(spark, tmp_path):
+    put(tmp_path / "A [x]" / "o*e {1}.txt", "kept")
+    put(tmp_path / "A [x]" / "one {1}.txt", "too")
+    put(tmp_path / "B" / "loose.txt", "left out")
+    put(tmp_path / "B" / "split a" / "t.txt", "split")
+    tree = readers.read_text_tree(spark, str(tmp_path))
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and len(tree.inputFiles()) == 3
+    assert sorted(r.content for r in tree.collect()) == ["kept", "split", "too"]
+    files = readers.text_tree_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in files
+    (tmp_path / "none").mkdir()
+    assert readers.read_text_tree(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_songs_are_one_json_array(spark, tmp_path):
     put(tmp_path / "songs.jl", json.dumps([{"songid": "1", "title": "A", "lyric": ""}, {"songid": "2", "title": "B", "lyric": "la"}], indent=1))
     songs = readers.read_songs(spark, str(tmp_path / "songs.jl"))
