@@ -6,7 +6,7 @@ texts with rolling hashes, looks them up, and verifies every hit word by word.
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z; all
 bytes of a non-ASCII character are 128 or more, so texts are scanned as UTF-8.
 
-The set is broadcast only if the benchmark's texts have at most ``bound`` bytes.
+The set is broadcast only if the benchmark's texts have at most ``bound`` bytes, 2 MB as a rule.
 A larger benchmark is looked up through a bit table of fixed size; windows that
 pass it are joined to the benchmark's windows by hash and text.
 
@@ -23,13 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taleloom.llm.textbytes import BASE, MIX, Powers, mixed, run_hashes, running, text_slices
 
 WINDOW = 13
-BOUND = 64 << 20
+BOUND = 2 << 20  # about 200 MB of dictionaries in a worker
 TABLE_BITS = 24
 
 FOLD = np.arange(256, dtype="u1")
@@ -117,12 +117,21 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 class Lookup:
-    """Windows by size and hash, behind a bit table that rules most others out."""
+    """Windows by size and hash, behind a bit table that rules most others out.
+
+    Broadcast as its plain values, as workers need not have this package.
+    """
+
+    @classmethod
+    def of(cls, values: dict) -> Lookup:
+        out = cls.__new__(cls)
+        out.__dict__ = values
+        return out
 
     def __init__(self, bits: int, sizes: set[int]):
         self.mask, self.sizes = np.uint64((1 << bits) - 1), sorted(sizes)
         self.table = np.zeros(1 << bits, bool)
-        self.known: dict[tuple[int, int], dict[bytes, list[str]]] = defaultdict(dict)
+        self.known: dict[tuple[int, int], dict[bytes, list[str]]] = {}
 
     def add(self, hashes: np.ndarray) -> None:
         self.table[(hashes & self.mask).astype("i8")] = True
@@ -172,7 +181,7 @@ def _known_windows(windows: DataFrame) -> Lookup:
     lookup = Lookup(TABLE_BITS, {r["size"] for r in rows})
     lookup.add(np.array([r["hash"] for r in rows], "i8").view("u8"))
     for r in rows:
-        lookup.known[(r["size"], r["hash"])][bytes(r["words"])] = list(r["items"])
+        lookup.known.setdefault((r["size"], r["hash"]), {})[bytes(r["words"])] = list(r["items"])
     return lookup
 
 
@@ -194,12 +203,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, bound: int
     windows = benchmark_windows(benchmark, n)
     if not _is_small(benchmark, bound):
         return _find_by_join(docs, windows)
-    held = docs.sparkSession.sparkContext.broadcast(_known_windows(windows))
+    held = docs.sparkSession.sparkContext.broadcast(_known_windows(windows).__dict__)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_byte, by_word = _scanner()
+        lookup = Lookup.of(held.value)
         for batch in batches:
-            columns = _scan_batch(batch.column(1), held.value, by_byte, by_word)
+            columns = _scan_batch(batch.column(1), lookup, by_byte, by_word)
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             types = [pa.int64(), pa.int64(), pa.list_(pa.string()), span]
             yield pa.RecordBatch.from_arrays(
@@ -217,12 +227,12 @@ def _find_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     lookup = Lookup(TABLE_BITS, {r[0] for r in windows.select("size").distinct().collect()})
     for r in slots.groupBy((F.col("slot") / 4096).cast("int")).agg(F.collect_list("slot").alias("s")).toLocalIterator():
         lookup.table[np.array(r["s"], "i8")] = True
-    held = docs.sparkSession.sparkContext.broadcast(lookup)
+    held = docs.sparkSession.sparkContext.broadcast(lookup.__dict__)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_byte, by_word = _scanner()
-        known = held.value
+        known = Lookup.of(held.value)
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, by_byte)
@@ -258,7 +268,7 @@ def _find_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     per_doc = places.groupBy(*key).agg(F.count_distinct("place").alias("n_hit"))
     named = hits.select(*key, F.explode("items").alias("item")).groupBy(*key)
     named = named.agg(F.sort_array(F.collect_set("item")).alias("items"))
-    spans = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    spans = _joined_spans(hits, key)
     ours = marked.select("doc_id", "mark", _word_count(F.col("text")).alias("n_words"))
     for part in (per_doc, named, spans):
         part = part.withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
@@ -273,6 +283,17 @@ def _find_by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
+def _joined_spans(hits: DataFrame, key: list[str]) -> DataFrame:
+    """``key, spans``: windows that overlap or follow each other word by word, as one span; a text's windows are ranked together."""
+    windows = hits.select(*key, "place", (F.col("place") + F.col("size")).alias("last"), "start", "end").distinct()
+    in_order = Window.partitionBy(*key).orderBy("place", "last")
+    before = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(before >= F.col("place"), 0).otherwise(1)
+    numbered = windows.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_order))
+    runs = numbered.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return runs.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
 def _word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-/:-@\[-`{-\x7f]+")), F.lit(0)).cast("bigint")
 
@@ -284,13 +305,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, bo
         marked = find_hits(docs, benchmark, n, bound).filter(is_contaminated(F.col("n_hit"), F.col("n_words")))
         bad = marked.select(F.col("doc_id").alias("_id")).distinct()
         return whole.join(bad, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left_anti").select("row.*")
-    held = docs.sparkSession.sparkContext.broadcast(_known_windows(benchmark_windows(benchmark, n)))
+    held = docs.sparkSession.sparkContext.broadcast(_known_windows(benchmark_windows(benchmark, n)).__dict__)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_byte, by_word = _scanner()
+        lookup = Lookup.of(held.value)
         for batch in batches:
-            n_words, n_hit, _, _ = _scan_batch(batch.column(at), held.value, by_byte, by_word)
+            n_words, n_hit, _, _ = _scan_batch(batch.column(at), lookup, by_byte, by_word)
             clean = [not (h > 0 and 20 * h >= w) for w, h in zip(n_words, n_hit)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
