@@ -7,16 +7,18 @@ the nodes of a word suffix tree cut at that depth. It is never built as a whole:
 1. Words are counted per group (language). A phrase is as rare as its rarest
    word, so words below ``min_count`` end a suffix; tasks know the others from a
    bit table of fixed size, whose false hits cost work and change nothing.
+   Two-word prefixes of such words are counted by hash; those below ``min_count`` end a
+   suffix as well, by a second bit table.
 2. Every place gives the suffix that starts there, cut at ``longest`` words.
-   Tasks add up equal suffixes and store them as a table.
-3. Prefixes are cut vertically: one-word prefixes fall into ``BUCKETS`` hash
+   Tasks add up equal suffixes of at least two words and store them as a table.
+3. Prefixes are cut vertically: two-word prefixes fall into ``BUCKETS`` hash
    buckets, buckets with more suffixes than the memory budget are cut again by
-   two-word prefixes, and so on; whole buckets are packed into groups of at most
+   three-word prefixes, and so on; whole buckets are packed into groups of at most
    about the budget. The driver sees a number per bucket. A phrase shorter than
    the prefix that its bucket is cut by is counted while cutting.
 4. Each group is sorted and its subtree walked leaf by leaf: a node's count is
-   the total of the leaves below it, handed up when the walk leaves the node.
-   The walk holds one path of ``longest`` nodes, whatever the size of the group.
+   the total of the leaves below it. The walk holds a batch and one open node per
+   depth, whatever the size of the group.
 
 Scores need the counts of parts of frequent phrases, which are frequent
 themselves, and are exact whole-number divisions of decimals.
@@ -47,11 +49,13 @@ MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 SHARE = 100
-BUDGET = 500_000
+BUDGET = 200_000
 BUCKETS = 1 << 16
-FEWEST = 32
+FEWEST = 8
+NOWHERE = 0xFFFFFFFF  # of buckets that are empty or cut further
 TABLE_BITS = 1 << 26
 SLICE_BYTES = 6 << 20
+PAIRS_AT_ONCE = 2_000_000
 FEW_GROUPS = 10_000
 LISTS = 64
 
@@ -132,41 +136,78 @@ def _count_words(limit: int):
     return run
 
 
-def _slot(seed: int, word: bytes, mask: int) -> int:
-    return xxhash.xxh64_intdigest(word, seed) & mask
+def _word_hashes(s: Slice) -> np.ndarray:
+    """As Spark hashes language and word."""
+    seeds = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s.langs]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w, seeds[g]) for g, w in zip(s.lang_of.tolist(), s.words.to_pylist())], "u8")
 
 
-def _suffixes(table: np.ndarray, longest: int, limit: int):
-    """Equal suffixes of a slice, added up; rare words end them."""
-    mask = 8 * len(table) - 1
+def _is_set(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slots = hashes & np.uint64(8 * len(table) - 1)
+    return (table[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype("u1")) & 1 == 1
+
+
+def _frequent_pairs(s: Slice, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words in order, -1 for rare ones; where a pair of frequent words starts; and the hashes of those pairs."""
+    hashes = _word_hashes(s)
+    frequent = np.append(_is_set(words, hashes), False)
+    row = np.where(frequent[s.row], s.row, -1)
+    at = np.flatnonzero((row[:-1] >= 0) & (row[1:] >= 0))
+    pairs = hashes[row[at]] * np.uint64(0x9E3779B97F4A7C15) + hashes[row[at + 1]]
+    pairs = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return row, at, pairs ^ (pairs >> np.uint64(29))
+
+
+def _count_pairs(words: np.ndarray, limit: int):
+    """Hashes of two-word prefixes with counts, added up within the task while they are few enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, rows = [], [], 0
+
+        def flushed() -> pa.RecordBatch:
+            distinct, place = np.unique(np.concatenate([np.zeros(0, "u8"), *keys]), return_inverse=True)
+            n = np.bincount(place, np.concatenate([np.zeros(0, "i8"), *counts]), len(distinct)).astype("i8")
+            return _as_batch(hash=pa.array(distinct.view("i8")), n=pa.array(n))
+
         for batch in batches:
             for s in _slices(batch, limit):
-                seeds = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s.langs]
-                slots = np.array(
-                    [_slot(seeds[g], w, mask) for g, w in zip(s.lang_of.tolist(), s.words.to_pylist())], "i8"
-                )
-                frequent = (table[slots >> 3] >> (slots & 7).astype("u1")) & 1 == 1
-                row = np.where((s.row >= 0) & frequent[s.row], s.row, -1) if len(slots) else s.row
+                distinct, n = np.unique(_frequent_pairs(s, words)[2], return_counts=True)
+                keys.append(distinct)
+                counts.append(n)
+                rows += len(distinct)
+                if rows > PAIRS_AT_ONCE:
+                    yield flushed()
+                    keys, counts, rows = [], [], 0
+        yield flushed()
+
+    return run
+
+
+def _suffixes(words: np.ndarray, pairs: np.ndarray, longest: int, limit: int):
+    """Equal suffixes of a slice, added up; rare words and rare pairs end them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in _slices(batch, limit):
+                row, at, hashes = _frequent_pairs(s, words)
+                at = at[_is_set(pairs, hashes)]
+                if not len(at):
+                    continue
                 row = np.append(row, np.full(longest, -1))
-                n = len(row) - longest
-                at = np.flatnonzero((row[:n] >= 0) & (row[1 : n + 1] >= 0))
-                code = row[at]
-                inside = np.ones(len(at), bool)
+                goes_on = np.zeros(len(row), bool)
+                goes_on[at] = True
+                code, inside = row[at], np.ones(len(at), bool)
                 columns = [row[at]]
                 for d in range(1, longest):
-                    following = row[at + d]
-                    inside &= following >= 0
-                    following = np.where(inside, following, -1)
-                    code = pd.factorize(code * (len(slots) + 1) + following + 1)[0]
+                    inside &= goes_on[at + d - 1]
+                    following = np.where(inside, row[at + d], -1)
+                    code = pd.factorize(code * (len(s.words) + 1) + following + 1)[0]
                     columns.append(following)
-                if not len(at):
-                    continue
                 some = np.zeros(int(code.max()) + 1, "i8")
                 some[code[::-1]] = np.arange(len(code))[::-1]
-                words = [s.words.take(pa.array(c[some], mask=c[some] < 0)) for c in columns]
-                joined = pc.binary_join_element_wise(*words, SEP.encode(), null_handling="skip")
+                parts = [s.words.take(pa.array(c[some], mask=c[some] < 0)) for c in columns]
+                joined = pc.binary_join_element_wise(*parts, SEP.encode(), null_handling="skip")
                 yield _as_batch(
                     lang=pa.array(np.asarray(s.langs, object)[s.lang_of[columns[0][some]]], pa.string()),
                     suffix=joined.cast(pa.string()),
@@ -176,10 +217,10 @@ def _suffixes(table: np.ndarray, longest: int, limit: int):
     return run
 
 
-def _bit_table(words: DataFrame, bits: int) -> np.ndarray:
-    """Slots of the (language, word) rows as bits: ``bits / 8`` bytes however many words there are."""
-    slot = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(bits - 1)) + 1  # bitmaps count from 1
-    parts = words.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
+def _bit_table(rows: DataFrame, hashed: Column, bits: int) -> np.ndarray:
+    """Slots of the hashes as bits: ``bits / 8`` bytes however many rows there are."""
+    slot = hashed.bitwiseAND(F.lit(bits - 1)) + 1  # bitmaps count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("set")
     )
     table = np.zeros(bits // 8, "u1")
@@ -212,7 +253,7 @@ def _partitioned(
     spark = table.sparkSession
     rows = table.withColumn("n_parts", F.size(F.split("suffix", SEP)))
     light: dict[tuple[int, int], int] = {}
-    open_rows, counted, depth = rows, None, 0
+    open_rows, counted, depth = rows, None, 1  # suffixes have two words at least
     total = rows.count()
     budget = max(budget, FEWEST * total // buckets)
     while True:
@@ -225,71 +266,83 @@ def _partitioned(
         # At most total / budget heavy buckets, which is bounded by buckets / FEWEST.
         marked = spark.createDataFrame([(b,) for b in heavy], "b int")
         open_rows = open_rows.withColumn("b", _bucket(depth, buckets)).join(F.broadcast(marked), "b", "left_semi").drop("b")
-        if depth > 1:
-            short = open_rows.groupBy("lang", F.substring_index("suffix", SEP, depth).alias("phrase"))
-            short = short.agg(F.sum("n").alias("n"))
-            counted = short if counted is None else counted.unionByName(short)
+        short = open_rows.groupBy("lang", F.substring_index("suffix", SEP, depth).alias("phrase"))
+        short = short.agg(F.sum("n").alias("n"))
+        counted = short if counted is None else counted.unionByName(short)
         open_rows = open_rows.filter(F.col("n_parts") > depth)
     packed = _packed(light, budget)
-    # At most ``longest`` times ``buckets`` rows, whatever the input.
-    places = spark.createDataFrame(packed or [(0, 0, 0)], "at int, b int, g int")
+    # The place of a bucket is read from a constant of four bytes per bucket and depth.
     groups, depths = [], []
-    for d in range(1, depth + 1):
-        here = F.broadcast(places.filter(F.col("at") == d).select(F.col("b").alias(f"b{d}"), F.col("g").alias(f"g{d}")))
-        rows = rows.withColumn(f"b{d}", _bucket(d, buckets)).join(here, f"b{d}", "left")
-        found = F.when(F.col("n_parts") >= d, F.col(f"g{d}"))  # a bucket that is cut further has no group
+    for d in range(2, depth + 1):
+        table_of = np.full(buckets, NOWHERE, ">u4")
+        for at, bucket, group in packed:
+            if at == d:
+                table_of[bucket] = group
+        place = F.substring(F.lit(bytearray(table_of.tobytes())), 4 * _bucket(d, buckets) + 1, 4)
+        rows = rows.withColumn(f"g{d}", F.conv(F.hex(place), 16, 10).cast("long"))
+        found = F.when((F.col("n_parts") >= d) & (F.col(f"g{d}") != NOWHERE), F.col(f"g{d}"))
         groups.append(found)
         depths.append(F.when(found.isNotNull(), F.lit(d)))
-    rows = rows.select("lang", "suffix", "n", F.coalesce(*depths).alias("depth"), F.coalesce(*groups).alias("group"))
+    rows = rows.select(
+        "lang", "suffix", "n", F.coalesce(*depths).alias("depth"), F.coalesce(*groups).cast("int").alias("group")
+    )
     rows = rows.filter(F.col("group").isNotNull())
     return rows, counted, max((g for _, _, g in packed), default=0) + 1
 
 
-def _walk(min_count: int):
-    """Counts of nodes from sorted leaves: ``lang, phrase, n`` of nodes at or below the depth of their prefix."""
+def _walk(min_count: int, longest: int):
+    """Counts of nodes from sorted leaves: ``lang, phrase, n`` of nodes at or below the depth of their prefix.
+
+    Leaves of a node come one after another, so a batch is walked depth by depth: a node ends where
+    the words down to its depth change. The last node of each depth stays open for the next batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path: list[str] = []
-        totals: list[int] = []
-        out: list[tuple[str, str, int]] = []
-        tree: tuple | None = None
-        cut = 1
-
-        def leave(to: int) -> None:
-            while len(path) > to:
-                n = totals.pop()
-                if n >= min_count and len(path) >= cut and len(path) > 1:
-                    out.append((tree[1], SEP.join(path), n))
-                path.pop()
-                if totals:
-                    totals[-1] += n
+        still_open: dict[int, tuple[tuple, int]] = {}
 
-        def flushed() -> pa.RecordBatch:
-            lang, phrase, n = zip(*out) if out else ((), (), ())
-            out.clear()
+        def found(nodes: list[tuple[tuple, int]]) -> pa.RecordBatch:
+            kept = [(key[1], key[2], n) for key, n in nodes if n >= min_count]
+            lang, phrase, n = zip(*kept) if kept else ((), (), ())
             return _as_batch(lang=pa.array(lang, pa.string()), phrase=pa.array(phrase, pa.string()), n=pa.array(n, pa.int64()))
 
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("group", "lang", "suffix", "n", "depth"))
-            for group, lang, suffix, n, depth in zip(*columns):
-                words = suffix.split(SEP)
-                if (group, lang) != tree:
-                    leave(0)
-                    tree = (group, lang)
-                same = 0
-                for a, b in zip(path, words):
-                    if a != b:
-                        break
-                    same += 1
-                # Nodes at or below the cut share their prefix, and so the depth of the cut.
-                leave(same)
-                cut = depth
-                path.extend(words[same:])
-                totals.extend([0] * (len(words) - same))
-                totals[-1] += n
-            yield flushed()
-        leave(0)
-        yield flushed()
+            if not batch.num_rows:
+                continue
+            group, n, cut = (batch.column(c).to_numpy() for c in ("group", "n", "depth"))
+            langs = batch.column("lang").dictionary_encode()
+            words = pc.split_pattern(batch.column("suffix"), SEP)
+            size = pc.list_value_length(words).to_numpy()
+            code = words.flatten().dictionary_encode().indices.to_numpy()
+            first = np.cumsum(size) - size
+            tree = np.stack([group, langs.indices.to_numpy()])
+            new = np.append(True, (tree[:, 1:] != tree[:, :-1]).any(axis=0))  # a node above, or the tree, changed
+            nodes: list[tuple[tuple, int]] = []
+            for d in range(1, longest + 1):
+                has = size >= d
+                word = np.where(has, code[np.minimum(first + d - 1, len(code) - 1)], -1)
+                new[1:] |= word[1:] != word[:-1]
+                at = np.flatnonzero(has & (cut <= d))
+                if d < 2 or not len(at):
+                    continue
+                node = np.cumsum(new)[at]
+                begins = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
+                totals = np.add.reduceat(n[at], begins)
+
+                def key(i: int, d: int = d) -> tuple:
+                    i = int(at[i])
+                    some = words[i].as_py()[:d]
+                    return int(group[i]), batch.column("lang")[i].as_py(), SEP.join(some)
+
+                if d in still_open:
+                    known, before = still_open.pop(d)
+                    if known == key(begins[0]):
+                        totals[0] += before
+                    else:
+                        nodes.append((known, before))
+                still_open[d] = (key(begins[-1]), int(totals[-1]))
+                nodes += [(key(begins[j]), int(totals[j])) for j in np.flatnonzero(totals[:-1] >= min_count)]
+            yield found(nodes)
+        yield found(list(still_open.values()))
 
     return run
 
@@ -312,15 +365,24 @@ def phrase_counts(
     words = cut_lineage(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")))
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     frequent = words.filter(F.col("n") >= min_count)
-    held = docs.sparkSession.sparkContext.broadcast(_bit_table(frequent, table_bits))
+    spark = docs.sparkSession
+    by_word = spark.sparkContext.broadcast(_bit_table(frequent, F.xxhash64("lang", "phrase"), table_bits))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _count_pairs(by_word.value, slice_bytes)(batches)
+
+    hashes = texts.mapInArrow(pairs, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    by_pair = spark.sparkContext.broadcast(
+        _bit_table(hashes.filter(F.col("n") >= min_count), F.col("hash"), table_bits)
+    )
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _suffixes(held.value, longest, slice_bytes)(batches)
+        return _suffixes(by_word.value, by_pair.value, longest, slice_bytes)(batches)
 
     table = cut_lineage(texts.mapInArrow(suffixes, "lang string, suffix string, n long"))
     rows, short, groups = _partitioned(table, longest, budget, buckets)
-    trees = rows.repartition(groups, "group").sortWithinPartitions("group", "lang", "suffix")
-    found = trees.mapInArrow(_walk(min_count), "lang string, phrase string, n long")
+    trees = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "lang", "suffix")
+    found = trees.mapInArrow(_walk(min_count, longest), "lang string, phrase string, n long")
     if short is not None:
         found = found.unionByName(short.filter(F.col("n") >= min_count))
     return cut_lineage(frequent.unionByName(found)), totals
