@@ -22,7 +22,7 @@ gives the same rows. The highest count per A id has as many rows as A has ids.
 
 Tokens never cross the end of a chunk: a space after a visible ASCII character,
 letter or digit begins a new one, unless only spaces follow. So chunks are aligned
-once each and remembered, in two generations of bounded size. This holds for a
+once each and remembered, up to a bounded number. This holds for a
 sentence-piece model that does not change texts and has no piece with a blank inside;
 with other models whole texts are taken as chunks.
 
@@ -34,8 +34,10 @@ are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,10 +54,13 @@ LEVELS = 64
 BLOCK = 1 << 16
 FAN_IN = 4
 VECTORS = 8
-REMEMBERED = 120_000
+REMEMBERED = 400_000
+RUN_CHARS = 16_000
 PAIRS_AT_ONCE = 1_000_000
 TEXTS_AT_ONCE = 128
 SPACE_MARK = "▁"
+# Fixed value: how byte-level tokenizers cut text before their merges.
+RANK_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 # Alignment
@@ -68,14 +73,56 @@ def _byte_values() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+SPLIT = re.compile(r"(?<=[!-~\w]) (?! *$)")
+
+
+def _rank_encoder(path: str, known: list[bytes]):
+    """An encoder by ranks, if they are the vocabulary whose bytes are ``known``."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    if any(rank >= len(known) or known[rank] != token for token, rank in ranks.items()):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=RANK_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[i], starts[i] + 1, ...``, ``counts[i]`` of them, for every i."""
+    total = np.cumsum(counts)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - counts), counts)
+
+
+class Grown:
+    """An array that takes more values at its end."""
+
+    def __init__(self, kind: str):
+        self.values, self.n = np.zeros(1024, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.values):
+            self.values = np.concatenate([self.values[: self.n], np.zeros(self.n + 2 * len(more), self.values.dtype)])
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    def clear(self) -> None:
+        self.n = 0
+
+
 class Aligner:
-    """Groups of ids of both tokenizers for chunks of text.
+    """Groups of ids of both tokenizers for chunks of text, which are numbered as they come.
 
-    A chunk's record is ``(A tokens, B tokens, groups, links, groups as text, linked pairs)``, the
-    pairs as numbers ``a * size_b + b`` with repeats; None if its tokens do not give its bytes.
+    New chunks are encoded together: as text after text, cut again at the chunks' ends. For
+    each chunk are kept: whether its tokens give its bytes, how many A tokens, B tokens, groups and
+    links it has, its groups as text (``with_text``), and its linked pairs, as numbers
+    ``a * size_b + b`` with repeats.
     """
 
-    def __init__(self, byte_path: str, piece_path: str, most: int = REMEMBERED):
+    COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+    def __init__(
+        self, byte_path: str, piece_path: str, rank_path: str | None = None, with_text: bool = True, most: int = REMEMBERED
+    ):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -83,89 +130,202 @@ class Aligner:
         a = Tokenizer.from_file(byte_path)
         a.encode_special_tokens = True
         values = _byte_values()
-        self.a_bytes = [b""] * a.get_vocab_size()
+        a_bytes = [b""] * a.get_vocab_size()
         for token, i in a.get_vocab().items():
-            self.a_bytes[i] = bytes(values[c] for c in token) if all(c in values for c in token) else token.encode()
+            a_bytes[i] = bytes(values[c] for c in token) if all(c in values for c in token) else token.encode()
         b = SentencePieceProcessor(model_file=piece_path)
-        self.size_b = b.get_piece_size()
+        self.size_a, self.size_b = len(a_bytes), b.get_piece_size()
         pieces = [b.id_to_piece(i) for i in range(self.size_b)]
-        self.b_bytes = [
+        b_bytes = [
             bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
+        self.bytes_of = a_bytes, b_bytes
+        self.lengths = [np.array([len(x) for x in known], "i8") for known in self.bytes_of]
+        self.flat = [
+            (np.frombuffer(b"".join(known), "u1"), np.cumsum(n) - n) for known, n in zip(self.bytes_of, self.lengths)
+        ]
+        self.names = np.array([str(i) for i in range(max(self.size_a, self.size_b))], object)
         self.by_chunk = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
-        self.encode_a = lambda texts: [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
-        self.encode_b = lambda texts: b.encode(texts, num_threads=1)
-        self.most, self.young, self.old = most, {}, {}
+        by_rank = _rank_encoder(rank_path, a_bytes) if rank_path else None
+
+        def encode_a(text: str) -> list[int]:
+            if by_rank is not None:
+                try:
+                    return by_rank(text)
+                except Exception:  # its pattern matcher gives up on very long runs
+                    pass
+            return a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+        # B puts the first space itself.
+        self.encode = encode_a, lambda text: b.encode([text[1:]], num_threads=1)[0]
+        self.most, self.with_text, self.forgot = most, with_text, False
+        self.number: dict[str, int] = {}  # of words that end a chunk; -1 for those that don't
+        self.other: dict[str, int] = {}  # of chunks of texts that have such words
+        self.counts = {name: Grown("i8") for name in self.COUNTS}
+        self.good, self.starts, self.pairs, self.text = Grown("?"), Grown("i8"), Grown("i8"), []
 
     def chunks(self, text: str) -> list[str]:
-        """The text after a space, cut where no token of either tokenizer can cross."""
-        if not self.by_chunk:
-            return [" " + text]
-        out: list[str] = []
-        closed = True
-        for part in text.split(" "):
-            if closed:
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-            last = part[-1:]
-            closed = "!" <= last <= "~" or last.isalnum()
-        if len(out) > 1 and not out[-1].strip(" "):
-            rest = out.pop()
-            out[-1] += rest
-        return out
-
-    def _record(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = chunk.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        groups = []
-        if len(a) == 1 or len(b) == 1:
-            groups.append((a, b))
+        """The text after a space, cut where no token of either tokenizer can cross; each without its first space."""
+        return SPLIT.split(text) if self.by_chunk else [text]
+
+    def _forget(self) -> None:
+        self.forgot = True
+        self.number.clear()
+        self.other.clear()
+        self.text.clear()
+        for column in (*self.counts.values(), self.good, self.starts, self.pairs):
+            column.clear()
+
+    def _learn(self, chunks: list[str], together: bool) -> np.ndarray:
+        """Number and align new chunks; those that may end anywhere go on after each other, others stand alone."""
+        first = self.good.n
+        if not together:
+            for chunk in chunks:
+                self._align([chunk])
         else:
-            i = j = at_i = at_j = 0
-            first_i = first_j = 0
-            while i < len(a) or j < len(b):
-                if at_i <= at_j and i < len(a):
-                    at_i += len(self.a_bytes[a[i]])
-                    i += 1
-                else:
-                    at_j += len(self.b_bytes[b[j]])
-                    j += 1
-                if at_i == at_j:
-                    groups.append((a[first_i:i], b[first_j:j]))
-                    first_i, first_j = i, j
-        text = ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups])
-        pairs = np.array([p * self.size_b + q for x, y in groups for p in x for q in y], "i8")
-        return len(a), len(b), len(groups), len(pairs), text, pairs.tobytes()
-
-    def learn(self, chunks: list[str], finish=lambda record: record) -> dict[str, tuple | None]:
-        """Records of the chunks, as ``finish`` makes them out of the plain ones."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        missing = []
-        for chunk in set(chunks):
-            if chunk not in self.young:
-                if chunk in self.old:
-                    self.young[chunk] = self.old[chunk]
+            run, size = [], 0
+            for chunk in chunks:
+                run.append(chunk)
+                size += len(chunk)
+                if size > RUN_CHARS:
+                    self._align(run)
+                    run, size = [], 0
+            if run:
+                self._align(run)
+        return np.arange(first, self.good.n)
+
+    def _gives(self, side: int, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the bytes of the ids are these."""
+        size = self.lengths[side][ids]
+        if size.sum() != len(raw):
+            return False
+        flat, starts = self.flat[side]
+        return bool((flat[_ranges(starts[ids], size)] == np.frombuffer(raw, "u1")).all())
+
+    def _align(self, chunks: list[str]) -> None:
+        joined = " " + " ".join(chunks)
+        raw = joined.encode()
+        sizes = np.array([len(c.encode()) for c in chunks], "i8") + 1
+        ends = np.cumsum(sizes)
+        ids = [np.array(encode(joined), "i8") for encode in self.encode]
+        whole = all(self._gives(side, some, raw) for side, some in enumerate(ids))
+        if not whole:
+            if len(chunks) > 1:  # find the ones that are not given back
+                half = len(chunks) // 2
+                self._align(chunks[:half])
+                self._align(chunks[half:])
+                return
+            ids, ends = [np.zeros(0, "i8")] * 2, np.zeros(1, "i8")
+        a, b = ids
+        ends_a, ends_b = (np.cumsum(n[some]) for n, some in zip(self.lengths, ids))
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # the ends of groups, those of chunks among them
+        last_a, last_b = (np.searchsorted(some, cuts, side="right") for some in (ends_a, ends_b))
+        in_a, in_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
+        first_a, first_b = last_a - in_a, last_b - in_b
+        # Every A token of a group with every B token of it.
+        left = _ranges(first_a, in_a)
+        times = np.repeat(in_b, in_a)
+        right = _ranges(np.repeat(first_b, in_a), times)
+        self.pairs.extend(np.repeat(a[left], times) * self.size_b + b[right])
+        last_group = np.searchsorted(cuts, ends, side="right")
+        links = np.append(0, np.cumsum(in_a * in_b))[last_group]
+        found = [
+            np.append(0, last_a)[last_group], np.append(0, last_b)[last_group], last_group, links,
+        ]
+        for name, total in zip(self.COUNTS, found):
+            self.counts[name].extend(np.diff(total, prepend=0))
+        base = self.pairs.n - (links[-1] if len(links) else 0)
+        self.starts.extend(base + np.append(0, links[:-1]))
+        self.good.extend(np.full(len(chunks), whole))
+        if self.with_text:
+            names_a, names_b = self.names[a].tolist(), self.names[b].tolist()
+            groups = [
+                names_a[p] + "|" + names_b[q] if m == n == 1 else ",".join(names_a[p : p + m]) + "|" + ",".join(names_b[q : q + n])
+                for p, m, q, n in zip(first_a.tolist(), in_a.tolist(), first_b.tolist(), in_b.tolist())
+            ]
+            begun = 0
+            for end in last_group.tolist():
+                self.text.append(";".join(groups[begun:end]))
+                begun = end
+
+    def _numbers(self, words: list[list[str]]) -> np.ndarray:
+        """Numbers of the words of texts; -1 for one that does not end a chunk."""
+        known = self.number
+        flat = [w for some in words for w in some]
+        new = []
+        for word in dict.fromkeys(flat):
+            if word not in known:
+                last = word[-1:]
+                if "!" <= last <= "~" or last.isalnum():
+                    new.append(word)
                 else:
-                    missing.append(chunk)
-        if missing:
-            # The piece tokenizer puts the space in front itself.
-            both = zip(missing, self.encode_a(missing), self.encode_b([c[1:] for c in missing]))
-            for chunk, a, b in both:
-                record = self._record(chunk, a, b)
-                self.young[chunk] = record and finish(record)
-        return self.young
-
-    def texts(self, texts: pa.Array, finish=lambda record: record) -> Iterator[list[tuple] | None]:
-        """For each text the records of its chunks in order; None for a text without tokens."""
+                    known[word] = -1
+        known.update(zip(new, self._learn(new, True).tolist()))
+        return np.fromiter(map(known.__getitem__, flat), "i8", len(flat))
+
+    def _odd_numbers(self, text: str) -> np.ndarray:
+        chunks = self.chunks(text)
+        new = [c for c in dict.fromkeys(chunks) if c not in self.other]
+        self.other.update(zip(new, self._learn(new, False).tolist()))
+        return np.array([self.other[c] for c in chunks], "i8")
+
+    def slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of texts: the numbers of their chunks, the end of each text among them, and whether it has tokens."""
         for first in range(0, len(texts), TEXTS_AT_ONCE):
-            cut = [self.chunks(t) if t else [] for t in texts.slice(first, TEXTS_AT_ONCE).to_pylist()]
-            known = self.learn([c for some in cut for c in some], finish)
-            for some in cut:
-                records = [known[c] for c in some]
-                yield None if not records or None in records else records
+            some = [t or "" for t in texts.slice(first, TEXTS_AT_ONCE).to_pylist()]
+            if self.good.n > self.most or len(self.number) > 2 * self.most:
+                self._forget()
+            if self.by_chunk:
+                words = [t.split(" ") if t else [] for t in some]
+                numbers = self._numbers(words)
+                ends = np.cumsum([len(w) for w in words])
+            else:
+                numbers, ends = np.full(len(some), -1), np.arange(1, len(some) + 1)
+            # Texts with spaces after spaces, line ends or the like are cut with more care.
+            odd = np.diff(np.append(0, np.cumsum(numbers < 0))[ends], prepend=0) > 0
+            if odd.any():
+                parts = np.split(numbers, ends[:-1])
+                for i in np.flatnonzero(odd):
+                    parts[i] = self._odd_numbers(some[i]) if some[i] else np.zeros(0, "i8")
+                numbers, ends = np.concatenate(parts), np.cumsum([len(p) for p in parts])
+            bad = np.append(0, np.cumsum(~self.good.values[numbers]))
+            spoilt = np.diff(bad[ends], prepend=0) > 0
+            yield numbers, ends, (np.diff(ends, prepend=0) > 0) & ~spoilt
+
+    def linked(self, numbers: np.ndarray) -> np.ndarray:
+        """The pairs of chunks, one after another."""
+        return self.pairs.values[_ranges(self.starts.values[numbers], self.counts["n_links"].values[numbers])]
+
+
+def _sums(values: np.ndarray, ends: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Sums up to each end since the one before, 0 where not good."""
+    return np.where(good, np.diff(np.append(0, np.cumsum(values))[ends], prepend=0), 0)
+
+
+def _base(aligner: Aligner, numbers: np.ndarray, ends: np.ndarray, good: np.ndarray) -> list:
+    """Columns of the texts of a slice that need no counts: four numbers and the digest."""
+    columns: list = [_sums(aligner.counts[name].values[numbers], ends, good) for name in aligner.COUNTS]
+    digests, begun = [], 0
+    for end, fine in zip(ends.tolist(), good.tolist()):
+        text = ";".join([aligner.text[i] for i in numbers[begun:end].tolist()]) if fine else ""
+        digests.append(hashlib.sha256(text.encode()).hexdigest() if fine else "")
+        begun = end
+    return [*columns, digests]
+
+
+def _pairs_by_text(aligner: Aligner, numbers: np.ndarray, ends: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``text, pair, times``: the distinct pairs of each text that has tokens, in order of texts."""
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    fine = good[text]
+    # Chunks first, as texts repeat them.
+    span = max(aligner.good.n, 1)
+    chunk, often = np.unique(text[fine] * span + numbers[fine], return_counts=True)
+    text, number = np.divmod(chunk, span)
+    links = aligner.counts["n_links"].values[number]
+    width = aligner.size_a * aligner.size_b
+    pair, place = np.unique(np.repeat(text, links) * width + aligner.linked(number), return_inverse=True)
+    times = np.bincount(place, np.repeat(often, links), len(pair)).astype("i8")
+    return (*np.divmod(pair, width), times)
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -175,24 +335,22 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return distinct, total
 
 
-def partial_counts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
+def partial_counts(docs: DataFrame, byte_path: str, piece_path: str, rank_path: str | None = None) -> DataFrame:
     """``pair, n``: in how many documents of a task each pair is linked; a pair may have several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        aligner = Aligner(byte_path, piece_path, rank_path, with_text=False)
         keys, counts, rows = [np.zeros(0, "i8")], [np.zeros(0, "i8")], 0
 
         def flushed() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(counts[0])], names=["pair", "n"])
 
         for batch in batches:
-            for records in aligner.texts(batch.column(0)):
-                if records is None:
-                    continue
-                once = {id(r): r for r in records}.values()
-                own = np.unique(np.frombuffer(b"".join([r[5] for r in once]), "i8"))
+            for some in aligner.slices(batch.column(0)):
+                _, pairs, _ = _pairs_by_text(aligner, *some)
+                own, n = np.unique(pairs, return_counts=True)
                 keys.append(own)
-                counts.append(np.ones(len(own), "i8"))
+                counts.append(n)
                 rows += len(own)
                 if rows > PAIRS_AT_ONCE:
                     merged = _added(keys, counts)
@@ -386,59 +544,47 @@ def dense_counts(partial: DataFrame, numbers: PairHash, vectors: int) -> np.ndar
 SUMS = "n_a long, n_b long, n_groups long, n_links long"
 
 
-def _base(records: list[tuple] | None) -> tuple[int, int, int, int, str]:
-    if records is None:
-        return 0, 0, 0, 0, ""
-    digest = hashlib.sha256(";".join([r[4] for r in records]).encode()).hexdigest()
-    return (*(sum([r[k] for r in records]) for k in range(4)), digest)
-
-
-def _by_lookup(docs: DataFrame, byte_path: str, piece_path: str, numbers: PairHash, keys: np.ndarray, counts: np.ndarray) -> DataFrame:
+def _by_lookup(
+    docs: DataFrame, byte_path: str, piece_path: str, rank_path: str | None, numbers: PairHash, keys: np.ndarray, counts: np.ndarray
+) -> DataFrame:
     """Rows from broadcast counts: the links of a chunk are looked up once."""
-    with_size = Aligner(byte_path, piece_path)
-    best = np.zeros(len(with_size.a_bytes), "i8")
-    np.maximum.at(best, keys // with_size.size_b, counts)
+    sizes = Aligner(byte_path, piece_path)
+    best = np.zeros(sizes.size_a, "i8")
+    np.maximum.at(best, keys // sizes.size_b, counts)
     held = docs.sparkSession.sparkContext.broadcast((numbers.__dict__, keys, counts, best))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        aligner = Aligner(byte_path, piece_path, rank_path)
         state, known, count, highest = held.value
         own = PairHash.__new__(PairHash)
         own.__dict__ = state
+        totals, tops = np.zeros(0, "i8"), np.zeros(0, "i8")  # of the chunks' links, by chunk number
 
-        def finish(record: tuple) -> list:
-            return [*record[:5], record[5], None, None]
-
-        def look_up(records: list[list]) -> None:
-            new = list({id(r): r for r in records if r[6] is None}.values())
-            if not new:
-                return
-            pairs = np.frombuffer(b"".join([r[5] for r in new]), "i8")
-            distinct, place = np.unique(pairs, return_inverse=True)
+        def look_up(first: int) -> tuple[np.ndarray, np.ndarray]:
+            new = np.arange(first, aligner.good.n)
+            distinct, place = np.unique(aligner.linked(new), return_inverse=True)
             at = own.numbers(distinct)
             if (at < 0).any() or (known[at] != distinct).any():
                 raise ValueError("a linked pair was not counted")
-            n = count[at][place]
-            top = n == highest[pairs // aligner.size_b]
-            ends = np.cumsum([r[3] for r in new])
-            sums, tops = np.append(0, np.cumsum(n))[ends], np.append(0, np.cumsum(top))[ends]
-            before_n = before_t = 0
-            for r, s, t in zip(new, sums.tolist(), tops.tolist()):
-                r[5], r[6], r[7] = b"", t - before_t, s - before_n
-                before_n, before_t = s, t
+            ends = np.cumsum(aligner.counts["n_links"].values[new])
+            fine = np.ones(len(new), bool)
+            top = count[at] == highest[distinct // aligner.size_b]
+            return _sums(count[at][place], ends, fine), _sums(top[place], ends, fine)
 
         for batch in batches:
-            rows = []
-            texts = batch.column(1)
-            for first in range(0, len(texts), TEXTS_AT_ONCE):
-                found = list(aligner.texts(texts.slice(first, TEXTS_AT_ONCE), finish))
-                look_up([r for records in found if records for r in records])
-                for records in found:
-                    base = _base(records)
-                    extra = [sum([r[k] for r in records]) for k in (6, 7)] if records else [0, 0]
-                    rows.append((*base[:4], *extra, base[4]))
-            columns = list(zip(*rows)) if rows else [[]] * 7
+            columns: list[list] = [[] for _ in range(7)]
+            for some in aligner.slices(batch.column(1)):
+                numbers, ends, good = some
+                if aligner.good.n < len(totals) or aligner.forgot:
+                    totals, tops, aligner.forgot = totals[:0], tops[:0], False
+                if aligner.good.n > len(totals):
+                    more = look_up(len(totals))
+                    totals, tops = np.append(totals, more[0]), np.append(tops, more[1])
+                *base, digests = _base(aligner, *some)
+                extra = [_sums(tops[numbers], ends, good), _sums(totals[numbers], ends, good)]
+                for column, values in zip(columns, [*base, *extra, digests]):
+                    column.extend(values)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.string())],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
@@ -447,30 +593,28 @@ def _by_lookup(docs: DataFrame, byte_path: str, piece_path: str, numbers: PairHa
     return docs.mapInArrow(run, f"doc_id {kind}, {SUMS}, n_best long, count_sum long, groups_sha256 string")
 
 
-def _by_join(docs: DataFrame, byte_path: str, piece_path: str, counted: DataFrame) -> DataFrame:
+def _by_join(docs: DataFrame, byte_path: str, piece_path: str, rank_path: str | None, counted: DataFrame) -> DataFrame:
     """The same rows for any number of pairs: the documents' pairs are joined to the counts."""
     size_b = Aligner(byte_path, piece_path).size_b
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(byte_path, piece_path)
+        aligner = Aligner(byte_path, piece_path, rank_path)
         for batch in batches:
-            rows, pairs, times = [], [], []
-            for records in aligner.texts(batch.column(1)):
-                rows.append(_base(records))
-                linked = np.frombuffer(b"".join([r[5] for r in records or []]), "i8")
-                distinct, n = np.unique(linked, return_counts=True)
-                pairs.append(distinct)
-                times.append(n)
-            columns = list(zip(*rows)) if rows else [[]] * 5
+            columns: list[list] = [[] for _ in range(7)]
+            for some in aligner.slices(batch.column(1)):
+                text, pair, n = _pairs_by_text(aligner, *some)
+                cuts = np.searchsorted(text, np.arange(1, len(some[1])))
+                for column, values in zip(columns, [*_base(aligner, *some), np.split(pair, cuts), np.split(n, cuts)]):
+                    column.extend(values)
             lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     *(pa.array(c, pa.int64()) for c in columns[:4]),
                     pa.array(columns[4], pa.string()),
-                    pa.array(pairs, lists),
-                    pa.array(times, lists),
+                    pa.array(columns[5], lists),
+                    pa.array(columns[6], lists),
                 ],
                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"],
             )
@@ -494,22 +638,23 @@ def _by_join(docs: DataFrame, byte_path: str, piece_path: str, counted: DataFram
     )
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, held: int = HELD) -> DataFrame:
+def align(docs: DataFrame, byte_path: str, piece_path: str, held: int = HELD, rank_path: str | None = None) -> DataFrame:
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every row of ``docs``.
 
-    ``byte_path`` and ``piece_path`` are tokenizer files that every executor has. ``n_best``
+    ``byte_path`` and ``piece_path`` are tokenizer files that every executor has; ``rank_path``
+    may name the byte-level vocabulary as ranks, which gives the same ids faster. ``n_best``
     counts links whose pair has its A id's highest count, ``count_sum`` adds up the
     counts of all links, and the digest is of ``a1,a2|b1;a3|b2,b3``: the ids of each group.
     """
     docs = docs.select("doc_id", "text")
-    partial = cut_lineage(partial_counts(docs, byte_path, piece_path))
+    partial = cut_lineage(partial_counts(docs, byte_path, piece_path, rank_path))
     counted = cut_lineage(partial.groupBy("pair").agg(F.sum("n").alias("n")))
     rows, n = partial.count(), counted.count()
     if n > held:
-        return _by_join(docs, byte_path, piece_path, counted)
+        return _by_join(docs, byte_path, piece_path, rank_path, counted)
     numbers, keys = perfect_hash(counted, n)
     counts = dense_counts(partial, numbers, max(VECTORS, rows // max(n, 1)))
-    return _by_lookup(docs, byte_path, piece_path, numbers, keys, counts)
+    return _by_lookup(docs, byte_path, piece_path, rank_path, numbers, keys, counts)
 
 
 def pair_counts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:

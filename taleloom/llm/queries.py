@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taleloom.llm import (
     alignment, chat, decontaminate, lines, packing, phrases, quality, repeats, rules, sharding, simhash, topk, url_filter,
 )
-from taleloom.llm.tokenizer import BYTE_BPE, PIECE_BPE, WORD_BPE
+from taleloom.llm.tokenizer import BYTE_BPE, BYTE_RANKS, PIECE_BPE, WORD_BPE
 from taleloom.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,7 +206,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op12_tokenizer_alignment")
 def tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align(load(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+    return alignment.align(load(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE, rank_path=BYTE_RANKS)
 
 
 OP13 = r"""WITH t AS (SELECT coalesce(lang, 'und') AS lang,

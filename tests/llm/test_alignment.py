@@ -5,12 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer, decoders
 
 from taleloom.llm import alignment
-from taleloom.llm.tokenizer import BYTE_BPE, PIECE_BPE
+from taleloom.llm.tokenizer import BYTE_BPE, BYTE_RANKS, PIECE_BPE
 
 A = Tokenizer.from_file(BYTE_BPE)
 A.encode_special_tokens = True
@@ -84,10 +85,10 @@ def random_texts(n):
     return ["".join(draw.choice(some) for _ in range(draw.randrange(30))) for _ in range(n)]
 
 
-def compared(spark, texts, held=alignment.HELD):
+def compared(spark, texts, held=alignment.HELD, ranks=BYTE_RANKS):
     rows = [(i, t, "x", 1) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_a string, pair int")
-    out = alignment.align(docs, BYTE_BPE, PIECE_BPE, held)
+    out = alignment.align(docs, BYTE_BPE, PIECE_BPE, held, ranks)
     got = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in out.collect()}
     assert len(got) == len(texts)
     for i, (text, row) in enumerate(zip(texts, brute(texts))):
@@ -99,6 +100,17 @@ def test_odd_texts_as_whole_encodings(spark, held):
     compared(spark, [*ODD, *ODD[5:12], *random_texts(300)], held)
 
 
+def test_without_ranks(spark):
+    compared(spark, [*ODD, *random_texts(50)], ranks=None)
+
+
+def test_ranks_give_the_same_ids():
+    by_rank = alignment._rank_encoder(BYTE_RANKS, alignment.Aligner(BYTE_BPE, PIECE_BPE).bytes_of[0])
+    for text in [*ODD[2:], *random_texts(2000), "\u00a0\u2003x\u0085 \u3000y", "ÀÉ\u0301 ß\u0660\u0967 \u200d\u2028z"]:
+        assert by_rank(" " + text) == A.encode(" " + text, add_special_tokens=False).ids, repr(text)
+    assert alignment._rank_encoder(BYTE_RANKS, [b"x"] * 60_000) is None
+
+
 def test_whole_table(spark, small):
     compared(spark, [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()][:120])
 
@@ -114,13 +126,19 @@ def test_empty_table_and_repeated_ids(spark):
     assert [r.n_a for r in alignment.align(nothing, BYTE_BPE, PIECE_BPE).collect()] == [0, 0]
 
 
-def test_remembered_chunks_are_bounded():
-    small = alignment.Aligner(BYTE_BPE, PIECE_BPE, most=10)
-    texts = [f"word{i} other{i % 7}" for i in range(500)]
-    for i in range(0, 500, 5):
-        for t in texts[i : i + 5]:
-            small.learn(small.chunks(t))
-    assert len(small.young) + len(small.old) < 40
+def test_remembered_chunks_are_bounded(spark, monkeypatch):
+    few = alignment.Aligner(BYTE_BPE, PIECE_BPE, most=10)
+    texts = pa.array([f"word{i} other{i % 7}" for i in range(500)])
+    for numbers, _, good in few.slices(texts):
+        assert good.all() and few.good.n <= 10 + 2 * alignment.TEXTS_AT_ONCE
+    assert len(few.number) >= few.good.n == len(few.text)
+
+
+@pytest.mark.parametrize("held", [alignment.HELD, 0])
+def test_forgetting_changes_nothing(spark, monkeypatch, held):
+    monkeypatch.setattr(alignment, "TEXTS_AT_ONCE", 3)
+    monkeypatch.setattr(alignment.Aligner.__init__, "__defaults__", (None, True, 5))
+    compared(spark, [*ODD, *random_texts(60), *ODD], held)
 
 
 def test_pair_counts(spark):
