@@ -15,6 +15,9 @@ are cut to that width, and equal ones are found through a cover sample:
    the sample and content. Buckets are streamed one after the other. A bucket of
    more than ``hot`` distinct spans is sorted as rows of windows by all tasks.
 
+Texts are read again where spans are fetched and where bytes are removed. Only those
+that a Bloom filter of fixed size lets through are shuffled for it.
+
 A position-based difference cover has a sample per 17 bytes for this width, and
 under it equal windows at different offsets share one sample in 307 bytes only,
 so all 18 samples of a period would have to be followed; see the README.
@@ -36,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taleloom.llm.textbytes import BASE, Powers, mixed, run_hashes, running, text_slices
+from taleloom.llm.url_filter import bloom_flag, in_bloom
 from taleloom.session import cut_lineage
 
 WIDTH = 400
@@ -44,6 +48,7 @@ HOT = 20_000
 PLACE_BITS = 24
 BLOCK_BYTES = 1 << 20
 ROWS_AT_ONCE = 2000
+BLOOM_BLOCKS = 1 << 17
 
 CLASS = ["gram", "before", "least", "content"]
 
@@ -131,7 +136,8 @@ def _same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` spans with their bytes, as ``span``."""
     parts = ["start", *CLASS, "n", "hot"]
-    lists = wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*parts)).alias("asked"))
+    lists = cut_lineage(wanted.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*parts)).alias("asked")))
+    near = in_bloom(docs, F.col("mark"), lists.select(F.col("mark").alias("k")), BLOOM_BLOCKS)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +156,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 [*keys, *fields, pa.array(spans, pa.binary())], names=["doc_id", "mark", *parts, "span"]
             )
 
-    return _same_row(docs, lists, "inner").mapInArrow(
+    return _same_row(near, lists, "inner").mapInArrow(
         cut,
         f"doc_id {kind}, mark long, start long, gram long, before long, least long, content long, "
         "n long, hot boolean, span binary",
@@ -300,8 +306,10 @@ def with_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int
     """``doc_id, mark, text, ranges`` of every row; ``ranges`` is null where nothing is repeated."""
     marked = _marked(docs)
     ranges = repeated_ranges(marked, width, gram, hot).distinct()
-    lists = ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return _same_row(marked, lists, "left")
+    lists = cut_lineage(ranges.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("ranges")))
+    flagged = bloom_flag(marked, F.col("mark"), lists.select(F.col("mark").alias("k")), BLOOM_BLOCKS)
+    likely = _same_row(flagged.filter("likely").drop("likely"), lists, "left")
+    return likely.unionByName(flagged.filter("NOT likely").drop("likely"), allowMissingColumns=True)
 
 
 def merged_ranges(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:

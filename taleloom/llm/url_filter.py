@@ -68,6 +68,15 @@ def in_bloom(rows: DataFrame, key: Column, keys: DataFrame, blocks: int = BLOCKS
     return passed.select(*[F.col(c) for c in rows.columns])
 
 
+def bloom_flag(rows: DataFrame, key: Column, keys: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """``rows`` with ``likely``: whether the hash ``key`` may be among the hashes ``k`` of ``keys``."""
+    bloom = F.broadcast(bloom_blocks(keys, blocks))
+    held = [F.col(f"w{w}").bitwiseAND(_bit(key, w)) != 0 for w in range(WORDS)]
+    looked_up = rows.join(bloom, _block(key, blocks) == F.col("bloom_block"), "left")
+    likely = F.coalesce(held[0] & held[1] & held[2] & held[3], F.lit(False))
+    return looked_up.select(*[F.col(c) for c in rows.columns], likely.alias("likely"))
+
+
 def _host_suffixes(host: Column) -> Column:
     labels = F.split(host, r"\.")
     return F.transform(
