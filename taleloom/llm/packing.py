@@ -28,10 +28,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -133,13 +135,16 @@ class WordIds:
         return [b"".join(map(get, c)) for c in chunks]
 
 
-_coders: dict[str, WordIds] = {}
-
-
 def _coder(path: str) -> WordIds:
-    if path not in _coders:
-        _coders[path] = WordIds(path)
-    return _coders[path]
+    """The coder of this worker process.
+
+    Globals of a shipped function are made anew for each task, so what the tasks
+    of a process are to share is kept among its modules.
+    """
+    held = sys.modules.setdefault("_word_ids_by_path", ModuleType("_word_ids_by_path")).__dict__
+    if path not in held:
+        held[path] = WordIds(path)
+    return held[path]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
