@@ -7,9 +7,11 @@ chosen in proportion to its weight. A child's draw depends on its own name and
 weight alone; a changed weight therefore moves rows into or out of the changed
 subtree only.
 
-``with_new_shard`` hangs a new shard below a region of its own. Then only one
-new draw appears at the root, no draw elsewhere changes, and rows move into the
-new shard alone, whatever the number of shards.
+The first ``base`` shards are laid out in racks and regions. Every later one hangs
+below a region of its own (``with_new_shard``). Then only one new draw appears at
+the root, no draw elsewhere changes, and rows move into the new shard alone. The
+tree of a shard count does not depend on how that count was reached. Fewer shards
+than ``base`` fill the first racks, and growth up to ``base`` moves other rows too.
 
 Defined results: a null key is drawn like any other key; null text has no bytes;
 repeated rows go to the same shard, each to a slot of its own; other columns are
@@ -27,6 +29,7 @@ from taleloom.operators.ranking import positions
 
 ROW_OVERHEAD = 16
 BUCKETS = 4096
+BASE = 40
 
 
 @dataclass(frozen=True)
@@ -58,17 +61,20 @@ class Region:
 Tree = tuple[Region, ...]
 
 
-def tree(shards: int, per_rack: int = 5, racks_per_region: int = 4) -> Tree:
-    """Shards 0 .. ``shards - 1`` of equal weight, filled into racks and regions in order."""
-    numbers = list(range(shards))
+def tree(shards: int, per_rack: int = 5, racks_per_region: int = 4, base: int = BASE) -> Tree:
+    """Shards 0 .. ``shards - 1`` of equal weight: ``base`` in racks and regions in order, the rest as new ones."""
+    numbers = list(range(min(shards, base)))
     racks = [
         Rack(f"rack-{i // per_rack}", tuple(Shard(n) for n in numbers[i : i + per_rack]))
-        for i in range(0, shards, per_rack)
+        for i in range(0, len(numbers), per_rack)
     ]
-    return tuple(
+    root = tuple(
         Region(f"region-{i // racks_per_region}", tuple(racks[i : i + racks_per_region]))
         for i in range(0, len(racks), racks_per_region)
     )
+    for _ in range(base, shards):
+        root = with_new_shard(root)
+    return root
 
 
 def with_new_shard(root: Tree, weight: float = 1.0) -> Tree:
