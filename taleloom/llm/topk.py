@@ -11,10 +11,10 @@ must fit in a long. Products run in doubles where no sum can pass 2^53, in
 64-bit integers otherwise.
 
 Defined results: vectors that are null, or hold null or non-finite components,
-and rows of a null id take no part; ties go to the smaller id; repeated rows
-count once, several vectors under one id are all candidates, and the query is
-the least of them; an id is never its own result; vectors of different lengths
-never meet; fewer than ``k`` candidates give a shorter list; an empty table
+and rows of a null id take no part; ties go to the smaller id; every row counts,
+repeated ones as often as they are there, and the list of an id holds the best
+partners of all its rows; an id is never its own result; vectors of different
+lengths never meet; fewer than ``k`` candidates give a shorter list; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -38,10 +38,15 @@ def whole_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
         vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
         .filter(F.col("vec_id").isNotNull() & F.col("e").isNotNull() & finite)
         .select("vec_id", F.transform("e", lambda x: F.floor(x * scale).cast("bigint")).alias("v"))
-        .distinct()
     )
 
 
+def copies(rows: DataFrame, most: int) -> DataFrame:
+    """``vec_id, v, copy`` of the rows; more than ``most`` copies of a row can fill no further place of a list."""
+    counted = rows.groupBy("vec_id", "v").agg(F.least(F.count(F.lit(1)), F.lit(most)).cast("int").alias("n"))
+    return counted.select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+
+
 def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
     if top < 2**53:
@@ -68,7 +73,7 @@ def _best(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple
     return q[keep], c[keep]
 
 
-def _search(k: int):
+def _search(k: int, tiles: int):
     def tile_by_shard(tile: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(tile) and len(shard):
@@ -87,7 +92,7 @@ def _search(k: int):
                     pd.DataFrame(
                         {
                             "query_id": some["vec_id"].to_numpy("i8")[q],
-                            "part": np.int64(shard["part"].iloc[0]),
+                            "part": np.int64(shard["part"].iloc[0]) * tiles + np.int64(tile["tile"].iloc[0]),
                             "vec_id": ids[c],
                             "score": scores[q, c],
                         }
@@ -95,7 +100,8 @@ def _search(k: int):
                 )
         if not found:
             return pd.DataFrame({c: np.zeros(0, "i8") for c in ("query_id", "part", "vec_id", "score")})
-        return pd.concat(found)
+        hits = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return hits.groupby("query_id").head(k)
 
     return tile_by_shard
 
@@ -126,22 +132,22 @@ def top_k(
 
     ``is_query`` is a condition on ``vec_id``.
     """
-    rows = whole_vectors(vectors, scale)
-    queries = rows.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = copies(whole_vectors(vectors, scale), k)
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     parts, tiles = max(1, -(-total // shard_rows)), max(1, -(-asked // tile_rows))
-    shards = rows.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts))).withColumn(
+    row = F.xxhash64("vec_id", "v", "copy")
+    shards = rows.withColumn("part", F.pmod(row, F.lit(parts))).withColumn(
         "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(tiles - 1).cast("bigint")))
     )
-    grid = queries.withColumn("tile", F.pmod(F.xxhash64("vec_id"), F.lit(tiles))).withColumn(
+    grid = rows.filter(is_query).withColumn("tile", F.pmod(row, F.lit(tiles))).withColumn(
         "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
     )
     lists = (
         grid.groupBy("tile", "part")
         .cogroup(shards.groupBy("tile", "part"))
-        .applyInPandas(_search(k), "query_id long, part long, vec_id long, score long")
+        .applyInPandas(_search(k, tiles), "query_id long, part long, vec_id long, score long")
     )
-    return merge_lists(lists, parts, k).select(
+    return merge_lists(lists, parts * tiles, k).select(
         "query_id", F.posexplode("best").alias("place", "hit")
     ).select(
         "query_id",

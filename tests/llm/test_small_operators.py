@@ -17,11 +17,10 @@ from taleloom.llm.queries import URL_RULES
 
 def brute(rows, is_query, k):
     ok = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
-    ok = sorted({(i, tuple(v)) for i, v in ok})
     out = []
     for q in sorted({i for i, _ in ok if is_query(i)}):
-        mine = min(v for i, v in ok if i == q)
-        best = sorted((-sum(a * b for a, b in zip(mine, v)), i) for i, v in ok if i != q and len(v) == len(mine))[:k]
+        mine = [v for i, v in ok if i == q]
+        best = sorted((-sum(a * b for a, b in zip(m, v)), i) for m in mine for i, v in ok if i != q and len(v) == len(m))[:k]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -37,6 +36,14 @@ def test_top_k_with_ties_and_odd_vectors(spark, shard_rows, tile_rows):
     assert sorted(tuple(r) for r in got) == brute(rows, lambda i: i % 10 == 0, 5)
 
 
+def test_every_repeated_row_counts(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])] + [(3, [0.25, 0.5])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, shard_rows in ((30, 100), (4, 2)):
+        got = topk.top_k(df, F.col("vec_id") == 0, k=k, shard_rows=shard_rows, tile_rows=1).collect()
+        assert sorted(tuple(r) for r in got) == brute(rows, lambda i: i == 0, k)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.col("vec_id") == 0).count() == 0
@@ -59,6 +66,33 @@ def test_rows_move_into_the_new_shard_only(shards):
     assert len({(r.doc_id, r.shard, r.grown_shard) for r in shards}) == len({r.doc_id for r in shards})
 
 
+@pytest.mark.parametrize("shards", [40, 41])
+def test_growth_gives_the_placement_of_the_larger_count(spark, shards):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    grown = {r.doc_id: r.grown_shard for r in sharding.shard_rows(docs, shards).collect()}
+    assert {r.doc_id: r.shard for r in sharding.shard_rows(docs, shards + 1).collect()} == grown
+
+
+def test_placement_is_the_smallest_draw_at_each_level(spark):
+    """Region, rack and shard recomputed in Python from names, weights and MD5."""
+
+    def pick(key, nodes):
+        def draw(node):
+            u = (int(hashlib.md5(f"{node[0]}:{key}".encode()).hexdigest()[:12], 16) + 1) / (2**48 + 1)
+            return -math.log(u) / node[1]
+
+        return min(nodes, key=draw)[2]
+
+    def expected(key):
+        racks = pick(key, [(r.name, r.weight, r.racks) for r in sharding.tree(43)])
+        shards = pick(key, [(r.name, r.weight, r.shards) for r in racks])
+        return pick(key, [(f"shard-{s.number}", s.weight, s.number) for s in shards])
+
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    for r in sharding.shard_rows(docs, 43).collect():
+        assert r.shard == expected(str(r.doc_id))
+
+
 def test_shards_are_even_and_slots_gapless(shards):
     slots = collections.defaultdict(list)
     for r in shards:
