@@ -176,9 +176,27 @@ def h9_lifetimes(spark, sf_dir):
     return topo.lifetimes(diagram).select("vec_id", "dimension", F.round("lifetime", 6).alias("lifetime"))
 
 
-@query("h10_merge_distances")
+# The tree grows from its least point; each step takes in the nearest point outside.
+TREE = """WITH RECURSIVE v AS (SELECT min(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY CAST(embedding AS DOUBLE[])),
+grown(id, w, near, e, done) USING KEY (id) AS (
+  SELECT id, CASE WHEN id = (SELECT min(id) FROM v) THEN -1.0::DOUBLE ELSE 9.0::DOUBLE END, CAST(NULL AS BIGINT), e, false
+  FROM v
+  UNION
+  SELECT t.id,
+    CASE WHEN t.id = p.id OR t.w <= 1 - list_cosine_similarity(t.e, p.e) THEN t.w
+         ELSE 1 - list_cosine_similarity(t.e, p.e) END,
+    CASE WHEN t.id = p.id OR t.w <= 1 - list_cosine_similarity(t.e, p.e) THEN t.near ELSE p.id END,
+    t.e, t.id = p.id
+  FROM recurring.grown t, (SELECT * FROM recurring.grown WHERE NOT done ORDER BY w, id LIMIT 1) p WHERE NOT t.done)
+SELECT 0 AS dimension, 0.0::DOUBLE AS birth, round(w, 6) AS death, least(id, near) AS a, greatest(id, near) AS b
+FROM grown WHERE near IS NOT NULL"""
+
+
+@query("h10_merge_distances", TREE)
 def h10_merge_distances(spark, sf_dir):
-    return topo.merge_distances(tables.load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    edges = topo.merge_distances(tables.load(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return edges.withColumn("death", F.round("death", 6))
 
 
 @query(
