@@ -199,12 +199,16 @@ def a13_once_within(spark, sf_dir):
     return stored.groupBy("url").agg(F.count(F.lit(1)).alias("visits")).withColumn("late_rows", F.lit(dropped).cast("bigint"))
 
 
+# A pattern, which a stream follows to one file as well as to a folder of files.
+PAGES = "/pages[.]parquet"
+
+
 @query("a13_stream_once", "SELECT DISTINCT url FROM pages")
 def a13_stream_once(spark, sf_dir):
     """Every page arrives twice; each address leaves once."""
     out, checkpoint = fresh_folder(spark), fresh_folder(spark)
-    twice = ingest.page_stream(spark, sf_dir, "pages.parquet").select("url")
-    twice = twice.union(ingest.page_stream(spark, sf_dir, "pages.parquet").select("url"))
+    twice = ingest.page_stream(spark, sf_dir + PAGES).select("url")
+    twice = twice.union(ingest.page_stream(spark, sf_dir + PAGES).select("url"))
     job = (
         ingest.once_per_url(twice)
         .writeStream.format("parquet")
@@ -220,7 +224,7 @@ def a13_stream_once(spark, sf_dir):
 @query("a13_stream_stories", ORACLES["b3_page_stories"])
 def a13_stream_stories(spark, sf_dir):
     out = fresh_folder(spark)
-    job = ingest.ingest_stories(ingest.page_stream(spark, sf_dir, "pages.parquet"), out, fresh_folder(spark), "/(en|de)/")
+    job = ingest.ingest_stories(ingest.page_stream(spark, sf_dir + PAGES), out, fresh_folder(spark), "/(en|de)/")
     job.awaitTermination()
     schema = pg.page_stories(tables.load(spark, sf_dir, "pages"), "x").schema
     return spark.read.schema(schema).parquet(f"{out}/batch_no=*")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from taleloom import tables
 from taleloom.operators import metrics as met
+from taleloom.plans import QUERIES
 from taleloom.sources import exports, readers, store
 from taleloom.streaming import ingest
 
@@ -149,3 +150,15 @@ def test_bounded_stream_state(spark, tmp_path):
     job = ingest.once_per_url_within(stream, "fetched", "1 hour").writeStream.format("memory").queryName("once_within").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "mark")).start()
     job.awaitTermination()
     assert spark.table("once_within").count() == 5
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streamed_table_is_a_file_or_a_folder(spark, tmp_path, files):
+    rows = [(i, f"http://a.org/en/{i}", f"<html><body><h1>title {i}</h1><p>text {i}</p></body></html>") for i in range(12)]
+    pages = spark.createDataFrame(rows, tables.SCHEMAS["pages"])
+    if files == 1:
+        pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    else:
+        pages.repartition(files).write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r.url for r in QUERIES["a13_stream_once"](spark, str(tmp_path)).collect()} == {r[1] for r in rows}
+    assert QUERIES["a13_stream_stories"](spark, str(tmp_path)).count() == 12
