@@ -1,11 +1,10 @@
 """Chat formatting: every assistant turn becomes an example of its own.
 
 Prefix-target expansion: the context of an example is the formatted conversation
-up to the reply, and only the reply is trainable. A conversation of ``n`` turns
-written out once per example would take ``n`` squared characters, so an example
-is a pair of offsets into its conversation: its text is the first ``end``
-characters, and the loss mask covers ``start .. end``. Everything is built from
-DataFrame functions.
+up to the reply, and only the reply is trainable: the loss mask covers
+``start .. end`` of its text. The examples of a conversation of ``n`` turns have
+``n`` squared characters between them, so their texts are made row by row from the
+conversation and never shuffled. Everything is built from DataFrame functions.
 
 Template of a turn: ``<turn ROLE>TEXT</turn>`` and a line feed. Inside role and
 text ``\\``, ``<`` and ``>`` are written ``\\s``, ``\\l`` and ``\\g``, so that no
@@ -89,25 +88,10 @@ def format_turns(turns: DataFrame, per_block: int = TURNS_PER_BLOCK) -> DataFram
     )
 
 
-def prefix_examples(pieces: DataFrame) -> DataFrame:
-    """``conv_id, block, turn, start, end``: one example per assistant turn, whose reply lies in ``block``.
-
-    The example's text is the conversation's first ``end`` characters; the loss
-    mask is ``start .. end``.
-    """
-    return pieces.filter("trainable").select("conv_id", "block", "turn", "start", "end")
-
-
 def conversation_blocks(pieces: DataFrame) -> DataFrame:
-    """``conv_id, block, begin, formatted, spans``: the text of each block, and the replies of its examples.
-
-    ``spans`` holds ``(start, length)`` within ``formatted`` of every example
-    that ends in the block, in order. The blocks of a conversation in order are
-    its formatted text, so an example's text is the blocks before its own and
-    the first ``start + length`` characters of that one.
-    """
+    """``conv_id, block, begin, formatted``: the text of each block; those of a conversation in order are its text."""
     parts = F.array_sort(F.collect_list(F.struct("place", "begin", "piece")))
-    blocks = (
+    return (
         pieces.groupBy("conv_id", "block")
         .agg(parts.alias("p"), F.min("begin").alias("begin"))
         .select(
@@ -117,25 +101,40 @@ def conversation_blocks(pieces: DataFrame) -> DataFrame:
             F.array_join(F.transform("p", lambda x: x.piece), "").alias("formatted"),
         )
     )
-    examples = (
-        prefix_examples(pieces)
+
+
+def prefix_examples(pieces: DataFrame) -> DataFrame:
+    """``conv_id, block, turn, start, end, text``: one example per assistant turn, whose reply lies in ``block``.
+
+    ``text`` is the conversation from its first turn up to the reply, which ends it; the loss mask is
+    ``start .. end``. A row is made from its block's when it is asked for, so texts are not shuffled.
+    """
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.array_join(F.collect_list("formatted").over(earlier), "")
+    so_far = conversation_blocks(pieces).select("conv_id", "block", F.concat(before, "formatted").alias("_so_far"))
+    replies = (
+        pieces.filter("trainable")
         .groupBy(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"))
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_examples"))
+        .agg(F.collect_list(F.struct("turn", "start", "end")).alias("_replies"))
     )
     here = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))
-    spans = F.transform(
-        F.coalesce("_examples", F.array()),
-        lambda x: F.struct((x.start - F.col("begin")).alias("start"), (x.end - x.start).alias("length")),
+    each = so_far.join(replies, here).select("conv_id", "block", "_so_far", F.inline("_replies"))
+    return each.select(
+        "conv_id", "block", "turn", "start", "end", F.substring("_so_far", F.lit(1), F.col("end").cast("int")).alias("text")
     )
-    return blocks.join(examples, here, "left").select("conv_id", "block", "begin", "formatted", spans.alias("spans"))
 
 
-def read_back(blocks: DataFrame) -> DataFrame:
-    """``conv_id, block, turns, trained, formatted_chars`` parsed from formatted text.
+def masked(examples: DataFrame) -> DataFrame:
+    """``conv_id, trained``: what lies under the masks of a conversation's examples, unescaped and in order."""
+    length = (F.col("end") - F.col("start")).cast("int")
+    reply = unescape(F.substring("text", (F.col("start") + 1).cast("int"), length))
+    replies = F.array_sort(F.collect_list(F.struct("start", reply.alias("reply"))))
+    joined = F.array_join(F.transform("r", lambda x: x.reply), "")
+    return examples.groupBy("conv_id").agg(replies.alias("r")).select("conv_id", joined.alias("trained"))
 
-    ``turns`` lists ``(role, text)`` and ``trained`` the reply of every example,
-    both unescaped and in order.
-    """
+
+def read_back(blocks: DataFrame) -> DataFrame:
+    """``conv_id, block, turns, formatted_chars`` parsed from formatted text; ``turns`` lists ``(role, text)``, unescaped."""
     marked = F.filter(F.split("formatted", CLOSE, -1), lambda x: x != "")
     turn = F.transform(
         marked,
@@ -144,29 +143,21 @@ def read_back(blocks: DataFrame) -> DataFrame:
             unescape(F.regexp_extract(x, r"(?s)^<turn [^>]*>(.*)$", 1)).alias("text"),
         ),
     )
-    masked = F.transform(
-        "spans",
-        lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), s.length.cast("int"))),
-    )
     return blocks.select(
-        "conv_id",
-        "block",
-        turn.alias("turns"),
-        masked.alias("trained"),
-        F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "conv_id", "block", turn.alias("turns"), F.length("formatted").cast("bigint").alias("formatted_chars")
     )
 
 
 def chat_digest(turns: DataFrame) -> DataFrame:
-    """Counts and digests of each formatted conversation, read back from the formatted text."""
-    parsed = read_back(conversation_blocks(format_turns(turns))).select(
+    """Counts and digests of each formatted conversation, read back from the formatted text and from the examples."""
+    pieces = format_turns(turns)
+    parsed = read_back(conversation_blocks(pieces)).select(
         "conv_id",
         F.struct(
             "block",
             F.array_join(
                 F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""
             ).alias("said"),
-            F.array_join("trained", "").alias("trained"),
         ).alias("part"),
         F.size("turns").cast("bigint").alias("n"),
         "formatted_chars",
@@ -176,8 +167,9 @@ def chat_digest(turns: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("part")).alias("parts"),
         F.sum("formatted_chars").alias("formatted_chars"),
     )
-    loss = F.array_join(F.transform("parts", lambda p: p.trained), "")
-    return whole.select(
+    trained = masked(prefix_examples(pieces)).withColumnRenamed("conv_id", "_conv")
+    loss = F.coalesce("trained", F.lit(""))
+    return whole.join(trained, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select(
         "conv_id",
         "n_turns",
         F.sha2(F.array_join(F.transform("parts", lambda p: p.said), ""), 256).alias("turns_sha256"),
