@@ -8,7 +8,7 @@ import corpus_pipeline
 from taleloom.llm.quality import score
 
 from .test_decontaminate import plain
-from .test_lines import brute
+from .test_lines import all_pairs
 from .test_packing import check
 from .test_simhash import groups, plain_fingerprint
 
@@ -50,7 +50,7 @@ def test_quality_stage(spark, small, stages):
 
 def test_line_stage(stages):
     before, after = texts(stages[0]), texts(stages[1])
-    want = brute(list(before.items()))
+    want = all_pairs(list(before.items()))
     assert after == {d: want[d, t] for d, t in before.items()}
     assert all(r.n_chars == len(r.text) for r in stages[1].collect())
 
