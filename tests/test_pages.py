@@ -155,3 +155,12 @@ def test_export_drops_blank_texts(spark):
         "array(struct('t ' AS title, ' o' AS origin, ' x\n' AS text), struct('b' AS title, 'o' AS origin, ' \n' AS text)) AS texts"
     )
     assert [tuple(r) for r in pg.story_export(df).collect()] == [("1", "d", "t", "o", "x", "u")]
+
+
+def test_pages_are_dealt_into_tasks_of_bounded_rows(spark, tmp_path):
+    from taleloom.plans import page_queries
+
+    turns = spark.range(30_000).selectExpr("id AS conv_id", "id % 3 AS turn", "'user' AS role", "'One. Two.' AS text")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    made = page_queries.sectioned_pages(spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == 15 and made.count() == 30_000
