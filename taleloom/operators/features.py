@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -146,11 +147,14 @@ def hashed_mean(parts: Column, dim: int) -> Column:
     once per slot, and exploding them would shuffle every token.
     """
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read = _hashing_reader(dim)
         for batch in batches:
-            yield pd.Series([read(parts) for parts in batch], dtype="object")
+            # A batch stays in Arrow; one text at a time becomes strings.
+            rows = np.array([read(parts.as_py()) for parts in batch], "f8").reshape(-1, dim)
+            ends = np.arange(len(batch) + 1, dtype="i4") * dim
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 
     return encode(F.transform(parts, F.lower))
 

@@ -77,3 +77,12 @@ def test_method_names(spark, small):
     docs = tables.load(spark, small, "documents")
     with pytest.raises(ValueError):
         features.book_vectors(docs, "source", "doc_id", "text", 8, method="other")
+
+
+def test_hashed_batches_stay_in_arrow(spark, monkeypatch):
+    """A batch is no column of Python strings; lists of sentences, empty and null ones included, are read as before."""
+    monkeypatch.setattr(F, "pandas_udf", None)
+    df = spark.createDataFrame([(1, ["a b", "c"]), (2, []), (3, None), (4, ["a b"])], "id long, parts array<string>")
+    plan = df.select("id", features.hashed_mean(F.col("parts"), 8).alias("v"))
+    got = {r.id: r.v for r in plan.collect()}
+    assert got[2] == got[3] == [0.0] * 8 and sum(x * x for x in got[4]) == pytest.approx(1) and len(got[1]) == 8
