@@ -26,6 +26,21 @@ def test_svm_beats_chance_on_its_training_rows(rows):
     assert hits > 0.3
 
 
+def test_svm_is_fitted_in_tasks_of_many_rows(spark, rows, monkeypatch):
+    """Each of a fit's jobs has a task per partition, so rows from many files are put together, and all are used."""
+    both = rows.withColumn("split", F.lit("train")).repartition(50)
+    n, seen, fit = both.count(), [], models.LinearSVC.fit
+
+    def watched(self, dataset, params=None):
+        seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+        return fit(self, dataset, params)
+
+    monkeypatch.setattr(models.LinearSVC, "fit", watched)
+    monkeypatch.setattr(models, "TASK_ROWS", -(-n // 3))
+    out = models.predicted(both.unionByName(both.withColumn("split", F.lit("test"))), models.linear_svm(n, max_iter=2))
+    assert out.count() == n and set(seen) == {(3, n)}
+
+
 def test_compared_models(rows):
     out = models.compared(rows, {"tree": models.decision_tree(), "forest": models.random_forest()}, "vec_id").collect()
     assert {r.model for r in out} == {"tree", "forest"} and all(0 <= r.accuracy <= 1 for r in out)
