@@ -8,6 +8,9 @@ driver, which keeps ``k`` topic totals. Every text belongs to one round. A round
    iterated to their fixed point and expected word counts per topic added up;
 3. adds these counts up by word, as a stored table, and moves the topic totals.
 
+The stored tables are bucketed by word, all alike, so that the rounds after read them where
+they are: only the words a round needs are shuffled to them, not every earlier sum again.
+
 Updates decay all earlier weights alike, so a weight is ``decay * (start + sum) + floor``
 with two numbers per round for the whole model: a round stores sums of its own words
 only. The start is a hash of word and topic, so words need no row before they occur.
@@ -15,16 +18,21 @@ only. The start is a hash of word and topic, so words need no row before they oc
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleloom.session import cut_lineage
+from taleloom.session import cut_lineage, ensure_checkpoint_dir
 
 BLOCK_WORDS = 400_000
 MERGE_AFTER = 6
+# Words of a bucket of the stored tables, and the fewest buckets.
+BUCKET_WORDS = 250_000
+LEAST_BUCKETS = 8
 STEPS = 60
 CLOSE = 1e-3
 
@@ -83,6 +91,30 @@ def _summed(tables: list[DataFrame], names: list[str]) -> DataFrame:
     return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)) if len(tables) > 1 else rows
 
 
+def _bucketed(table: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``table`` stored in the checkpoint folder, bucketed by word: the bucketed table, and the same as plain files.
+
+    Joins read the first. A union of bucketed tables, grouped by word, gave a word several rows in Spark 4.1; it reads the second.
+    """
+    spark, name = table.sparkSession, f"topic_words_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/tables/{name}"
+    table.write.format("parquet").bucketBy(buckets, "word").option("path", path).saveAsTable(name)
+    return spark.table(name), spark.read.schema(table.schema).parquet(path)
+
+
+def _with_sums(needed: DataFrame, tables: list[DataFrame], names: list[str]) -> DataFrame:
+    """``needed`` with the sums of its words over all tables; a word without sums has zeros.
+
+    Tables may be small enough for a broadcast, but a run would send all of them through the driver many times.
+    """
+    sums = [F.lit(0.0)] * len(names)
+    for i, table in enumerate(tables):
+        here = [f"{c}_{i}" for c in names]
+        needed = needed.join(table.select("word", *(F.col(c).alias(h) for c, h in zip(names, here))).hint("merge"), "word", "left")
+        sums = [a + F.coalesce(c, F.lit(0.0)) for a, c in zip(sums, here)]
+    return needed.select("block", "word", *(a.alias(c) for a, c in zip(sums, names)))
+
+
 def topics(
     df: DataFrame,
     words: Column,
@@ -109,9 +141,10 @@ def topics(
     n_texts = sum(t for t, _ in per_round.values())
     vocabulary = bags.select(F.explode("words").alias("word")).distinct()
     first = vocabulary.agg(F.count(F.lit(1)), *(F.sum(_start(F.col("word"), t, seed)) for t in range(k))).first()
+    buckets = max(LEAST_BUCKETS, -(-first[0] // BUCKET_WORDS))
     n_words, start = first[0], np.array([x or 0.0 for x in first[1:]], "f8")
 
-    tables: list[DataFrame] = []
+    tables: list[tuple[DataFrame, DataFrame]] = []
     summed = np.zeros(k)
     decay, floor = 1.0, 0.0
     for step, turn_no in enumerate(sorted(per_round)):
@@ -124,8 +157,8 @@ def topics(
         needed = batch.select("block", F.explode("words").alias("word")).distinct()
         weights = [decay * _start(F.col("word"), t, seed) + floor for t in range(k)]
         if tables:
-            needed = needed.join(_summed(tables, names), "word", "left")
-            weights = [w + decay * F.coalesce(c, F.lit(0.0)) for w, c in zip(weights, names)]
+            needed = _with_sums(needed, [t for t, _ in tables], names)
+            weights = [w + decay * F.col(c) for w, c in zip(weights, names)]
         model = needed.select(F.col("block").alias("part"), "word", *(w.alias(c) for w, c in zip(weights, names)))
 
         def expected(texts_of: pa.Table, model_of: pa.Table) -> pa.Table:
@@ -144,12 +177,12 @@ def topics(
         after = decay * (1 - rho)
         scale = rho * n_texts / texts / after
         table = counted.groupBy("word").agg(*((F.sum(c) * scale).alias(c) for c in names))
-        tables.append(cut_lineage(table))
-        moved = tables[-1].agg(*(F.sum(c) for c in names)).first()
+        tables.append(_bucketed(table, buckets))
+        moved = tables[-1][1].agg(*(F.sum(c) for c in names)).first()
         summed = summed + np.array([x or 0.0 for x in moved], "f8")
         decay, floor = after, (1 - rho) * floor + rho * eta
         if len(tables) > MERGE_AFTER:
-            tables = [cut_lineage(_summed(tables, names))]
+            tables = [_bucketed(_summed([t for _, t in tables], names), buckets)]
 
     spark = df.sparkSession
     if not tables:
@@ -162,7 +195,7 @@ def topics(
         )
         for t, c in enumerate(names)
     ]
-    rows = _summed(tables, names).select("word", F.inline(F.array(*weights)))
+    rows = _summed([t for _, t in tables], names).select("word", F.inline(F.array(*weights)))
     # Tasks cut their lists before the shuffle.
     place = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "word"))
     ranked = rows.withColumn("place", place - 1).filter(F.col("place") < top)

@@ -39,6 +39,18 @@ def test_tables_are_merged_without_a_change(spark, monkeypatch):
     assert plain.keys() == merged.keys() and all(abs(plain[x] - merged[x]) < 1e-12 for x in plain)
 
 
+def test_earlier_sums_are_read_where_they_are(spark):
+    """Joining the words of a round to all earlier tables shuffles these words once, and no table."""
+    sums = [{"a": 1.0, "b": 2.0, "c": 4.0}, {"b": 8.0}, {"c": 16.0, "d": 32.0}]
+    tables = [tp._bucketed(spark.createDataFrame([(w, x, -x) for w, x in t.items()], "word string, m0 double, m1 double"), 8)[0] for t in sums]
+    needed = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "c"), (2, "x")], "block long, word string")
+    df = tp._with_sums(needed, tables, ["m0", "m1"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    want = {(b, w): sum(t.get(w, 0.0) for t in sums) for b, w in needed.collect()}
+    assert {(r.block, r.word): (r.m0, r.m1) for r in df.collect()} == {k: (x, -x) for k, x in want.items()}
+
+
 def test_one_text_block_as_by_hand():
     rng = np.random.default_rng(1)
     weights, totals, alpha = rng.uniform(0.5, 2, (4, 2)), np.array([40.0, 50.0]), 0.5
