@@ -26,13 +26,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taleloom.session import cut_lineage, ensure_checkpoint_dir
+from taleloom.session import cut_lineage, ensure_checkpoint_dir, shuffles_removed
 
 BLOCK_WORDS = 400_000
 MERGE_AFTER = 6
 # Words of a bucket of the stored tables, and the fewest buckets.
 BUCKET_WORDS = 250_000
 LEAST_BUCKETS = 8
+RUN_ENTRIES = 8192
 STEPS = 60
 CLOSE = 1e-3
 
@@ -60,22 +61,33 @@ def fit_block(
     """
     k = weights.shape[1]
     beta = np.exp(_log_shares(weights, totals))
-    first = np.searchsorted(text, np.arange(n_texts))
-    filled = np.diff(np.append(first, len(text))) > 0
+    filled, first, length = np.unique(text, return_index=True, return_counts=True)
+    ends = first + length
+    # Texts go through in runs of some entries, whose weights stay in the processor's cache.
+    runs, start = [], 0
+    while start < len(filled):
+        stop = max(start + 1, int(np.searchsorted(ends, first[start] + RUN_ENTRIES, "right")))
+        rows, here = slice(start, stop), slice(first[start], ends[stop - 1])
+        runs.append((rows, length[rows], first[rows] - first[start], n[here], beta[word[here]]))
+        start = stop
+
+    def ratios(theta: np.ndarray, run: tuple) -> np.ndarray:
+        rows, lengths, _, count, weight = run
+        return count / np.maximum(np.einsum("ij,ij->i", np.repeat(theta[rows], lengths, axis=0), weight), 1e-100)
+
     gamma = np.ones((n_texts, k))
     for _ in range(STEPS):
         theta = np.exp(_log_shares(gamma, gamma.sum(axis=1, keepdims=True)))
-        ratio = n / np.maximum((theta[text] * beta[word]).sum(axis=1), 1e-100)
-        found = np.zeros((n_texts, k))
-        if len(text):
-            found[filled] = np.add.reduceat(ratio[:, None] * beta[word], first[filled], axis=0)
+        found, own = np.zeros((n_texts, k)), theta[filled]
+        for run in runs:
+            found[filled[run[0]]] = np.add.reduceat(ratios(own, run)[:, None] * run[4], run[2], axis=0)
         new = alpha + theta * found
         moved = np.abs(new - gamma).mean()
         gamma = new
         if moved < CLOSE:
             break
     theta = np.exp(_log_shares(gamma, gamma.sum(axis=1, keepdims=True)))
-    ratio = n / np.maximum((theta[text] * beta[word]).sum(axis=1), 1e-100)
+    ratio = np.concatenate([ratios(theta[filled], run) for run in runs]) if runs else np.zeros(0)
     return np.stack([np.bincount(word, ratio * theta[text, t], len(weights)) for t in range(k)], axis=1) * beta
 
 
@@ -98,7 +110,8 @@ def _bucketed(table: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
     """
     spark, name = table.sparkSession, f"topic_words_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/tables/{name}"
-    table.write.format("parquet").bucketBy(buckets, "word").option("path", path).saveAsTable(name)
+    with shuffles_removed(spark):
+        table.write.format("parquet").bucketBy(buckets, "word").option("path", path).saveAsTable(name)
     return spark.table(name), spark.read.schema(table.schema).parquet(path)
 
 
@@ -135,7 +148,8 @@ def topics(
     names = [f"m{t}" for t in range(k)]
     numbered = df.select(words.alias("words")).filter(F.size("words") > 0).withColumn("text", F.monotonically_increasing_id())
     turn = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(rounds)).cast("int")
-    bags = cut_lineage(numbered.withColumn("round", turn))
+    # A folder per round, as each round would otherwise read the texts of all.
+    bags = cut_lineage(numbered.withColumn("round", turn), by="round")
     sizes = bags.groupBy("round").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.size("words")).alias("words"))
     per_round = {r["round"]: (r["texts"], r["words"]) for r in sizes.collect()}  # a row per round
     n_texts = sum(t for t, _ in per_round.values())
